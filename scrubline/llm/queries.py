@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash
+import public_tokenizers
+
+from . import decontaminate, packing, prefix_bpe, simhash, token_histogram, token_table
+from .common import checkpoint, own_folder, remove_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op2_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as written to sorted string tables and read back: start, token count and checksum of each."""
+    folder = own_folder(spark, "token-table")
+    token_table.write_tables(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    entries = checkpoint(token_table.read_tables(spark, folder))
+    remove_folder(spark, folder)
+    return token_table.starts(entries)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals at every length that occurs."""
+    lengths = token_histogram.length_histogram(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_histogram.context_limits(lengths)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -30,10 +48,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return prefix_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_table": op2_token_table,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op9_prefix_bpe": op9_prefix_bpe,
 }
 
 #: Words are maximal runs of letters and digits; a run of 4 equal words is on the diagonal of every overlap.
