@@ -6,11 +6,11 @@ substitutions holds a hit of one of them (all 78 placements are covered; a test
 the join on seed hashes finds every overlap that the verification accepts, and the result does not
 depend on the masks.
 
-Stages: token hashes per document (one pass over the text), one row per token position and mask in a
-code-generated pipeline, a semi-join-like join with the seeds of the benchmark, one row per document,
-item and diagonal, then counting equal tokens along each diagonal. Only positions that hit are
-shuffled. The benchmark's seeds are broadcast when their measured number is within
-``BROADCAST_SEEDS``; beyond it the same join runs shuffled.
+Token hashes are made in one pass over the text. One code-generated stage then makes a row per token
+position and mask, looks its seed up in the benchmark's seeds and cuts the aligned tokens around a hit,
+so only hits leave the stage. Each hit is verified where it is found, and one row per document, item and
+alignment is shuffled. The seeds are broadcast in blocks of at most about ``BROADCAST_SEEDS`` rows of a
+few hundred bytes; a larger benchmark takes more passes over the documents, never a larger broadcast.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpoint, text_of
 
 #: Tokens of a verified overlap and how many of them may differ (at least 0.8 are equal).
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Ones are compared, zeros ignored.
 MASKS = ("11010111", "101100001011")
-BROADCAST_SEEDS = 2_000_000
+BROADCAST_SEEDS = 100_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -33,58 +33,69 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed_hashes(frame: DataFrame, masks: list[str], keep: list[str], short: bool = False) -> DataFrame:
-    """One row per position and mask: ``mask``, ``at`` and the seed's hash. Needs the column ``tokens``."""
-    rows = frame.where(F.size("tokens") > 0).select(*keep, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at"))
+def _seed_hashes(frame: DataFrame, masks: list[str], keep: list[str], items: bool = False) -> DataFrame:
+    """One row per position and mask: ``at``, ``mask`` and the seed's hash. Needs the column ``tokens``."""
+    places = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
+    rows = frame.select(*keep, "tokens", F.explode(places).alias("at"))
     seeds = []
     for k, mask in enumerate(masks):
         picked = [F.get(F.col("tokens"), F.col("at") + i) for i, bit in enumerate(mask) if bit == "1"]
         fits = F.col("at") + len(mask) <= F.size("tokens")
-        if short:  # a mask of ones stands for items of exactly that many tokens
+        if items:  # a mask of ones stands for items of exactly that many tokens
             fits = fits & ((F.size("tokens") >= WINDOW) if k < len(MASKS) else (F.size("tokens") == len(mask)))
         seeds.append(F.when(fits, F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *picked).alias("seed"))))
     rows = rows.select(*keep, "tokens", "at", F.explode(F.array(*seeds)).alias("s"))
     return rows.where("s is not null").select(*keep, "tokens", "at", F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Documents that hold a benchmark passage, with the place of the best overlap.
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BROADCAST_SEEDS) -> DataFrame:
+    """Documents that hold a benchmark passage, with the place of the overlap.
 
     Columns: ``doc_id``, ``text_hash`` (xxhash64 of the text; with the id it names the row), ``item_id``,
-    ``doc_start`` and ``item_start`` (token positions of the diagonal's first accepted window),
-    ``matched`` (equal tokens on the diagonal) and ``item_tokens``. One row per document, item and
-    alignment that has ``WINDOW`` aligned tokens of which at most ``SUBSTITUTIONS`` differ. Items with
-    fewer tokens must occur whole and unchanged. Null and empty texts or items overlap with nothing;
-    repeated rows give one row; a null id is kept. Names of the input columns are parameters.
+    ``doc_start`` and ``doc_end`` (token positions from the first accepted window to the end of the last)
+    and ``item_start`` (of the first). One row per document, item and alignment that has ``WINDOW`` aligned
+    tokens of which at most ``SUBSTITUTIONS`` differ. Items with fewer tokens must occur whole and
+    unchanged. Null and empty texts or items overlap with nothing; repeated rows give one row; a null id
+    is kept. Names of the input columns are parameters.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(text_of(item_text)).alias("tokens")).where(F.size("tokens") > 0).distinct()
-    lengths = [r[0] for r in items.where(F.size("tokens") < WINDOW).select(F.size("tokens").alias("n")).distinct().orderBy("n").collect()]
+    items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(text_of(item_text)).alias("tokens")).distinct()
+    lengths = [r[0] for r in items.where(F.size("tokens").between(1, WINDOW - 1)).select(F.size("tokens").alias("n")).distinct().orderBy("n").collect()]
     masks = [*MASKS, *("1" * n for n in lengths)]  # at most WINDOW - 1 more
-    seeds = _seed_hashes(items, masks, ["item_id"], short=True).select("item_id", F.col("tokens").alias("item"), F.col("at").alias("item_at"), "mask", "seed")
-    few = seeds.count() <= BROADCAST_SEEDS
+    around = max(map(len, MASKS)) + WINDOW - 1
+    first = F.greatest(F.lit(0), F.col("at") - (WINDOW - 1))
+    seeds = checkpoint(_seed_hashes(items, masks, ["item_id"], items=True).select(
+        "item_id", "mask", "seed", F.col("at").alias("item_at"), first.alias("item_from"),
+        F.slice("tokens", first + 1, F.col("at") + around - first).alias("item"), F.least(F.lit(WINDOW), F.size("tokens")).alias("width"),
+    ))
+    blocks = max(1, -(-seeds.count() // block))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("tokens"))
-    places = _seed_hashes(texts, masks, ["doc_id", "text_hash"])
-    hits = places.join(F.broadcast(seeds) if few else seeds, ["mask", "seed"])
+    found = None
+    for k in range(blocks):
+        part = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k)
+        hits = _verified(_seed_hashes(texts, masks, ["doc_id", "text_hash"]).join(F.broadcast(part), ["mask", "seed"]))
+        found = hits if found is None else found.unionAll(hits)
+    out = found.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.min("low").alias("doc_start"), F.max("high").alias("doc_end"))
+    return out.select("doc_id", "text_hash", "item_id", "doc_start", "doc_end", (F.col("doc_start") - F.col("shift")).alias("item_start"))
+
+
+def _verified(hits: DataFrame) -> DataFrame:
+    """Hits in an accepted window: ``low`` and ``high``, where the accepted windows around a hit begin and end."""
     shift = F.col("at") - F.col("item_at")
-    first = F.greatest(F.lit(0), shift)
-    size = F.least(F.size("tokens"), shift + F.size("item")) - first
-    aligned = hits.select("doc_id", "text_hash", "item_id", "item", shift.alias("shift"), F.slice("tokens", first + 1, size).alias("part"), (first - shift).alias("item_from"))
-    # equal rows meet in map-side partial aggregation: a passage sends one row per document and alignment
-    aligned = aligned.groupBy("doc_id", "text_hash", "item_id", "item", "shift", "part", "item_from").agg(F.count(F.lit(1)).alias("hits"))
-    width = F.least(F.lit(WINDOW), F.size("item"))
-    allowed = F.when(F.size("item") >= WINDOW, F.lit(SUBSTITUTIONS)).otherwise(F.lit(0))
-    equal = F.transform("part", lambda t, i: (t == F.get("item", F.col("item_from") + i)).cast("int"))
-    counted = aligned.where(F.size("part") >= width).withColumn("equal", equal).withColumn("width", width).withColumn("allowed", allowed)
-    sums = F.transform(
+    start = F.greatest(F.col("item_from") + shift, F.lit(0))
+    size = F.least(F.size("tokens"), F.col("item_from") + F.size("item") + shift) - start
+    # the aligned tokens are cut by a generator, which keeps the lambdas below out of the code-generated stage
+    cut = hits.select("doc_id", "text_hash", "item_id", shift.alias("shift"), start.alias("start"), (start - shift - F.col("item_from")).alias("skip"), "item", "width", F.explode(F.array(F.slice("tokens", start + 1, size))).alias("part"))
+    equal = F.transform("part", lambda t, i: (t == F.get("item", F.col("skip") + i)).cast("int"))
+    allowed = F.when(F.col("width") == WINDOW, F.lit(SUBSTITUTIONS)).otherwise(F.lit(0))
+    counted = cut.select("doc_id", "text_hash", "item_id", "shift", "start", "width", allowed.alias("allowed"), equal.alias("equal")).where(F.size("equal") >= F.col("width"))
+    good = F.filter(
         F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1),
-        lambda i: F.aggregate(F.slice("equal", i, F.col("width")), F.lit(0), lambda a, b: a + b),
+        lambda i: F.aggregate(F.slice("equal", i, F.col("width")), F.lit(0), lambda a, b: a + b) >= F.col("width") - F.col("allowed"),
     )
-    found = F.array_position(F.transform(sums, lambda s: s >= F.col("width") - F.col("allowed")), True)
-    matched = F.aggregate("equal", F.lit(0), lambda a, b: a + b)
-    out = counted.withColumn("found", found).withColumn("matched", matched).where("found > 0")
-    start = F.col("item_from") + F.col("found").cast("int") - 1
-    return out.select("doc_id", "text_hash", "item_id", (start + F.col("shift")).alias("doc_start"), start.alias("item_start"), "matched", F.size("item").alias("item_tokens")).distinct()
+    out = counted.select("doc_id", "text_hash", "item_id", "shift", "start", "width", good.alias("good")).where(F.size("good") > 0)
+    at = lambda i: F.col("start") + F.element_at("good", i) - 1
+    return out.select("doc_id", "text_hash", "item_id", "shift", at(1).alias("low"), (at(-1) + F.col("width")).alias("high"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

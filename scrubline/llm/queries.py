@@ -69,10 +69,10 @@ b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(tex
 dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4),
 bp AS (SELECT item_id, w AS item, unnest(range(1, len(w) - 2)) AS j FROM b WHERE len(w) >= 13),
 hit AS (SELECT DISTINCT doc_id, item_id, w, item, i - j AS shift FROM dp JOIN bp ON w[i] = item[j] AND w[i+1] = item[j+1] AND w[i+2] = item[j+2] AND w[i+3] = item[j+3]),
-al AS (SELECT doc_id, item_id, shift, item, greatest(0, -shift)::BIGINT AS low, list_transform(range(greatest(1, shift + 1), least(len(w), shift + len(item)) + 1), lambda i: CASE WHEN w[i] = item[i - shift] THEN 1 ELSE 0 END) AS eq, greatest(0, -shift) AS f FROM hit),
-win AS (SELECT *, list_position(list_transform(range(1, len(eq) - 11), lambda k: list_sum(eq[k:k+12]) >= 11), true) AS found FROM al WHERE len(eq) >= 13)
-SELECT DISTINCT doc_id, item_id, CAST(f + found - 1 + shift AS INT) AS doc_start, CAST(f + found - 1 AS INT) AS item_start, CAST(list_sum(eq) AS INT) AS matched, CAST(len(item) AS INT) AS item_tokens
-FROM win WHERE found > 0
+al AS (SELECT doc_id, item_id, shift, list_transform(range(greatest(1, shift + 1), least(len(w), shift + len(item)) + 1), lambda i: CASE WHEN w[i] = item[i - shift] THEN 1 ELSE 0 END) AS eq, greatest(0, shift) AS f FROM hit),
+win AS (SELECT *, list_filter(range(1, len(eq) - 11), lambda k: list_sum(eq[k:k+12]) >= 11) AS good FROM al WHERE len(eq) >= 13)
+SELECT DISTINCT doc_id, item_id, CAST(f + good[1] - 1 AS INT) AS doc_start, CAST(f + good[-1] + 12 AS INT) AS doc_end, CAST(f + good[1] - 1 - shift AS INT) AS item_start
+FROM win WHERE len(good) > 0
 """
 
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
