@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, packing, prefix_bpe, simhash, token_histogram, token_table
+from . import decontaminate, html_density, lsh_forest, packing, prefix_bpe, simhash, token_histogram, token_table
 from .common import checkpoint, own_folder, remove_folder
 
 
@@ -31,6 +31,12 @@ def op2_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.starts(entries)
 
 
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows found for every row whose id is divisible by 50."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return lsh_forest.search(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, quantiles and truncated totals at every length that occurs."""
     lengths = token_histogram.length_histogram(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,6 +54,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_density.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return prefix_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -56,9 +67,11 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_table": op2_token_table,
+    "op4_forest": op4_forest,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op8_html_density": op8_html_density,
     "op9_prefix_bpe": op9_prefix_bpe,
 }
 
