@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, html_density, lsh_forest, packing, prefix_bpe, simhash, token_histogram, token_table
+from . import decontaminate, html_density, lsh_forest, packing, prefix_bpe, quality, simhash, token_histogram, token_table
 from .common import checkpoint, own_folder, remove_folder
 
 
@@ -64,6 +64,11 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's evidence, site shares and posterior, and whether it is kept."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_table": op2_token_table,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_html_density": op8_html_density,
     "op9_prefix_bpe": op9_prefix_bpe,
+    "op10_quality": op10_quality,
 }
 
 #: Words are maximal runs of letters and digits; a run of 4 equal words is on the diagonal of every overlap.
