@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, html_density, lsh_forest, packing, prefix_bpe, quality, simhash, token_histogram, token_table
+from . import decontaminate, html_density, lm_bloom, lsh_forest, packing, prefix_bpe, quality, simhash, token_histogram, token_table
 from .common import checkpoint, own_folder, remove_folder
 
 
@@ -31,6 +31,12 @@ def op2_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.starts(entries)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document; those whose id hashes to 2 modulo 7 are held out of training."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm_bloom.score_documents(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest rows found for every row whose id is divisible by 50."""
     rows = _table(spark, sf_dir, "embeddings")
@@ -72,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_table": op2_token_table,
+    "op3_lm_scores": op3_lm_scores,
     "op4_forest": op4_forest,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
