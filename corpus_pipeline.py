@@ -1,16 +1,23 @@
-"""Corpus pipeline: documents through filtering, deduplication, decontamination and encoding."""
+"""Corpus pipeline: documents through quality filter, near-deduplication, decontamination and encoding."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubline.llm import decontaminate, simhash
+from scrubline.llm import decontaminate, prefix_bpe, quality, simhash
+from scrubline.llm.common import own_folder
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects, toxic or of low quality, go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -19,18 +26,27 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as token ids, with checksums of ids and decoded text."""
+    return prefix_bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good),
     ("simhash near-dedup", near_dedup),
     ("benchmark decontamination", drop_benchmark),
+    ("bpe encoding", encode),
 ]
 
-#: The stages hash, classify and encode in ways that SQL can't express.
+#: The stages classify, hash and encode in ways that SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; each stage's result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        folder = own_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
