@@ -1,41 +1,13 @@
-"""Checkpoints and small helpers shared by the operators of this subpackage."""
+"""Small helpers shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint, own_folder, remove_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "scrubline-checkpoints")
-    return folder.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared folder, so a lost executor loses nothing."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a path made by :func:`own_folder`."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["checkpoint", "own_folder", "remove_folder", "small_enough", "text_of"]
 
 
 def text_of(column: str) -> Column:

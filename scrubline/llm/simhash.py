@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import components
 from .common import checkpoint
-from .components import components
 
 HOT, LEVELS = 4096, 4
 
