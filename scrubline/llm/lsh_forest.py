@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK, QUERIES = 8192, 16384
-TREES, BITS, SHARE = 16, 32, 0.5
+TREES, BITS, SHARE = 24, 32, 0.65
 
 
 class HashPrefixForest:
