@@ -31,7 +31,10 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 DROPPED = frozenset("script style noscript iframe template svg canvas object embed audio video map head title nav aside footer form fieldset button select textarea input label dialog menu frameset noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of a class or id that name boilerplate.
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup paywall sidebar sidebars aside rail menu menus navbar nav navigation breadcrumb breadcrumbs topbar toolbar masthead header footer comment comments commentlist disqus respond reply replies related recommended recommendations share sharing social popup modal overlay widget widgets pagination pager login search skip".split())
+NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup paywall sidebar sidebars aside rail menu menus navbar nav navigation breadcrumb breadcrumbs topbar toolbar masthead header footer comment comments commentlist disqus respond responses reply replies related recommended recommendations share sharing social popup modal overlay widget widgets pagination pager login search skip".split())
+#: Names that inside an article may hold its title, and those that make an article element itself boilerplate.
+HEADING_NAMES = frozenset("header masthead banner".split())
+ARTICLE_NAMES = frozenset("comment comments reply ad advert sponsored promo related".split())
 #: A start tag closes these open elements, up to the nearest element of the second set.
 _P_ENDERS = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -119,7 +122,10 @@ class Page:
         if "display:none" in values.get("style", "").lower().replace(" ", ""):
             return True
         words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
-        return bool(words & (NAMES if tag != "article" else {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}))
+        if tag == "article":
+            return bool(words & ARTICLE_NAMES)
+        inside = any(self.tags[n] in ("article", "main") for n in stack)
+        return bool(words & (NAMES - HEADING_NAMES if inside else NAMES))
 
     def main_text(self) -> str:
         """The text of the content subtrees, blocks joined by line ends."""
