@@ -25,10 +25,13 @@ PATTERNS = {
 _MARK = "\x01"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<text, offset, length>>``, by code points, left to right. The mark character
-    must not occur in texts; it is taken out first."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+def pieces(text: Column, pattern: str) -> Column:
+    """A text cut at its matches: every second piece is one. The mark character must not occur in texts; take it out first."""
+    return F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+
+
+def matches(pieces: Column) -> Column:
+    """From a column made by :func:`pieces`, all matches as ``array<struct<text, offset, length>>``, by code points."""
     places = F.when(F.size(pieces) > 1, F.sequence(F.lit(2), F.size(pieces) - 1, F.lit(2)))
     offset = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i - 1), F.lit(0), lambda a, p: a + F.length(p))
     return F.transform(places, lambda i: F.struct(F.element_at(pieces, i).alias("text"), offset(i).alias("offset"), F.length(F.element_at(pieces, i)).alias("length")))

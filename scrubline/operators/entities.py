@@ -21,8 +21,11 @@ def _named(category: str, found: Column) -> Column:
 def recognise(docs: DataFrame, categories: list[str] | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``category``, ``text``, ``offset`` and ``length`` of every rule match, in one pass over the texts."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01", " ")
-    found = [_named(c, rules.matches(F.col("t"), p)) for c, p in rules.PATTERNS.items() if categories is None or c in categories]
-    rows = docs.select(key, text.alias("t")).select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.*")
+    chosen = [(c, p) for c, p in rules.PATTERNS.items() if categories is None or c in categories]
+    # the pieces are columns of their own, so that a text is cut once per rule and not once per match
+    cut = docs.select(key, text.alias("t")).select(key, *(rules.pieces(F.col("t"), p).alias(f"p{k}") for k, (_, p) in enumerate(chosen)))
+    found = [_named(c, rules.matches(F.col(f"p{k}"))) for k, (c, _) in enumerate(chosen)]
+    rows = cut.select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.*")
     return rows.where(rules.is_valid(F.col("category"), F.col("text")))
 
 

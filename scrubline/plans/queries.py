@@ -137,14 +137,7 @@ def contained_documents(spark, d):
 
 @query(f"WITH d AS (SELECT doc_id, {_email_norm('text')} AS n FROM documents), b AS (SELECT item_id, {_email_norm('text')} AS n FROM benchmark WHERE length({_email_norm('text')}) >= 30) SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(d.n, b.n)")
 def benchmark_containment(spark, d):
-    """Benchmark texts that occur whole in a document: candidates by an equal run of the item's first 5 words, then containment."""
-    items = table(spark, d, "benchmark").select("item_id", text.normalize_email(F.col("text")).alias("item")).where(F.length("item") >= email.LEAST_SOURCE)
-    lead = 24  # characters of an item that find its candidates: a position's window in a document is hashed once
-    items = items.withColumn("key", F.xxhash64(F.substring("item", 1, lead)))
-    n = _docs(spark, d).select("doc_id", text.normalize_email(F.col("text")).alias("n"))
-    places = n.select("doc_id", "n", F.explode(F.array_distinct(F.transform(F.split("n", " "), lambda w: F.substring(w, 1, 6)))).alias("head"))
-    heads = items.select("item_id", "item", F.substring(F.element_at(F.split("item", " "), 1), 1, 6).alias("head"))
-    return places.join(F.broadcast(heads) if items.count() <= 100_000 else heads, "head").where(F.col("n").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    return dedup.contained_items(_docs(spark, d), table(spark, d, "benchmark"))
 
 
 # paragraphs ---------------------------------------------------------------------------------------
