@@ -164,6 +164,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead).alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("key"),
+        F.monotonically_increasing_id().alias("row"),  # spreads rows that are equal in all else
     )
     base = checkpoint(base)  # one pass over the texts; what follows moves about 60 bytes a document
     total = base.agg(F.sum("size")).first()[0] or 0
@@ -184,14 +185,14 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
     big = spark.createDataFrame([(x[0], x[2], x[3], x[4]) for x in table if x[0] is not None], "key binary, unit int, shard int, parts int")
     small = spark.createDataFrame([(x[1], x[2], x[3], x[4]) for x in table if x[0] is None], "bundle long, s_unit int, s_shard int, s_parts int")
     placed = base.withColumn("bundle", bundle).join(F.broadcast(big), "key", "left").join(F.broadcast(small), "bundle", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("unit", "s_unit").alias("unit"), F.coalesce("shard", "s_shard").alias("shard"), F.coalesce("parts", "s_parts").alias("parts"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).cast("int"))
+    placed = placed.select("doc_id", "size", "text_crc32", "row", F.coalesce("unit", "s_unit").alias("unit"), F.coalesce("shard", "s_shard").alias("shard"), F.coalesce("parts", "s_parts").alias("parts"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     counts = placed.groupBy("shard", "unit", "part").agg(F.count(F.lit(1)).alias("n")).orderBy("shard", "unit", "part").collect()
     starts, at = [], {}
     for r in counts:  # at most one row per unit and SLOT_PARTS more
         starts.append((r["unit"], r["part"], at.get(r["shard"], 0)))
         at[r["shard"]] = at.get(r["shard"], 0) + r["n"]
     first = spark.createDataFrame(starts, "unit int, part int, first long")
-    order = Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32")
+    order = Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32", "row")
     slots = placed.withColumn("rank", F.row_number().over(order)).join(F.broadcast(first), ["unit", "part"])
     return slots.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - 1).alias("slot"))

@@ -148,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rated = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q"), F.col("toxic").alias("t")).where("id is not null and q is not null and t is not null")
     rated = rated.groupBy("id").agg((F.min("q") == 0).cast("int").alias("low"), (F.max("t") > 0).cast("int").alias("toxic"))
     rated = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(rated), "id").select("text", "low", "toxic")
-    texts = checkpoint(texts)
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(rated), "id")
+    # an id that occurs many times gives one text, chosen where it is read
+    texts = checkpoint(texts.groupBy("id", "low", "toxic").agg(F.min("text").alias("text")).select("text", "low", "toxic"))
     total = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
     if not total["n"]:
         return Heads(bias=(-5.0, -5.0))

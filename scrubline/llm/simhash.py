@@ -19,7 +19,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.graph import components
 from .common import checkpoint
@@ -320,7 +319,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     named = values.select("id", "best").join(similar_classes(values.select("id", "value")), "id", "left")
     kept = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash"))
-    rows = docs.withColumn("__own", F.xxhash64(text))
-    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__own"] == kept["__hash"])
-    once = Window.partitionBy(id_col, "__own").orderBy(F.lit(0))
-    return rows.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__own", "__n")
+    kept = checkpoint(kept)
+    copies = prints.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = kept.alias("k").join(copies.alias("c"), F.col("k.__id").eqNullSafe(F.col("c.__id")) & (F.col("k.__hash") == F.col("c.__hash")), "left_semi")
+
+    def matching(side: DataFrame) -> DataFrame:
+        rows = docs.withColumn("__own", F.xxhash64(text))
+        return rows.join(side, rows[id_col].eqNullSafe(side["__id"]) & (rows["__own"] == side["__hash"]), "left_semi")
+
+    if repeated.isEmpty():
+        return matching(kept).drop("__own")
+    # equal rows are reduced where they are read, so their number doesn't matter
+    repeated = checkpoint(repeated)
+    others = kept.alias("k").join(repeated.alias("r"), F.col("k.__id").eqNullSafe(F.col("r.__id")) & (F.col("k.__hash") == F.col("r.__hash")), "left_anti")
+    return matching(others).unionAll(matching(repeated).dropDuplicates([id_col, "__own"])).drop("__own")

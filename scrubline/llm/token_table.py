@@ -192,11 +192,11 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     Entries ascend by id, null first; repeated ids follow in the order of their texts' hashes. Null and
     empty texts are entries with the end id alone. ``width`` is the bytes of an id, 2 or 4. A range of
-    ids that holds many rows is cut by the texts' hashes too. An empty table gives no shard.
+    ids that holds many rows is cut by the texts' hashes and row numbers too. An empty table gives no shard.
     """
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     shards = rows.mapInArrow(_writer(tokenizer, end_id, width, shard_bytes), "shard long, data binary")
     shards.select("shard", F.col("data").cast("string").alias("value")).write.partitionBy("shard").text(folder)
 
