@@ -53,6 +53,25 @@ def merge_rectangles(rects: DataFrame, keys: list[str]) -> DataFrame:
     return boxes(rows, [*keys, "bucket", "run"]).drop("bucket", "run")
 
 
+def intersecting(rects: DataFrame, bands: DataFrame, keys: list[str], slack: float = 0.5) -> DataFrame:
+    """``rects`` that overlap one of ``bands(keys, left, top, right, bottom)`` on both axes by more than ``slack``."""
+    both = rects.join(bands, keys)
+    return both.where((F.col("x0") < F.col("right") - slack) & (F.col("x1") > F.col("left") + slack) & (F.col("y0") < F.col("bottom") - slack) & (F.col("y1") > F.col("top") + slack)).select(*rects.columns)
+
+
+def line_rectangles(words: DataFrame, least_height: float = 2.0) -> DataFrame:
+    """Lines of words with their text and union rectangle; blank and flat ones are left out."""
+    parts = words.groupBy("doc_id", "page", "line_idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word"))).alias("w"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    rows = parts.select("doc_id", "page", "line_idx", F.array_join("w.word", " ").alias("line"), "x0", "y0", "x1", "y1")
+    return rows.where((F.trim("line") != "") & (F.col("y1") - F.col("y0") >= least_height))
+
+
+def next_gap(rects: DataFrame) -> DataFrame:
+    """Each rectangle's distance to the next one below it on the page, null for the last."""
+    order = Window.partitionBy("doc_id", "page").orderBy("y0")
+    return rects.withColumn("gap", F.lead("y0").over(order) - F.col("y1"))
+
+
 def _key(text: str, marks: Iterable[str]) -> str:
     text = text.lower()
     for mark in marks:

@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry, rules, text
 from ..operators import dedup, email, entities, paragraphs, raster, reflow, review, spans, vectors
+from ..sources.sinks import annotations
 from ..sources.tables import table, threads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -553,3 +555,59 @@ def fuzzy_documents(spark, d):
         return pa.array([email.coverage(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
 
     return pairs.withColumn("c", covered("source", "n")).where(F.col("c") >= email.COVERAGE).select("source_id", F.col("doc_id").alias("target_id"), F.bround("c", 3).alias("coverage"))
+
+
+# joins between messages, lines, rectangles and labels ----------------------------------------------
+@query(f"WITH {_EPAIRS} SELECT doc_id, email_idx, body FROM blocks b WHERE EXISTS (SELECT 1 FROM pairs p WHERE p.doc_id = b.doc_id AND p.target_email_index = b.email_idx AND contains(tn, sn))")
+def email_duplicate_targets(spark, d):
+    b = _blocks(spark, d)
+    return email.targets(b, email.contained(b)).select("doc_id", "email_idx", "body")
+
+
+@query(f"WITH {_TLINES}, lo AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS o FROM laid), pieces AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS piece FROM (SELECT doc_id, string_split(regexp_replace(text, '(?m)^From: ', chr(1) || 'From: ', 'g'), chr(1)) AS p FROM threads)), sp AS (SELECT doc_id, n, CAST(n - 1 AS INT) AS email_idx, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(piece) AS size FROM pieces) SELECT lo.doc_id, email_idx, page, min(y0) AS y0, max(y1) AS y1, count(*) AS n_lines FROM lo JOIN sp ON lo.doc_id = sp.doc_id AND n > 0 AND o < a + size AND o + length(line) > a GROUP BY 1, 2, 3")
+def email_line_boxes(spark, d):
+    """The band of each message on each page: lines whose span overlaps the message's."""
+    made = threads(table(spark, d, "conversations"))
+    lines = paragraphs.lines(made)
+    laid = _laid(lines).join(lines.select("doc_id", "line_idx", F.col("offset").alias("o")), ["doc_id", "line_idx"])
+    both = laid.join(email.clean_spans(made), "doc_id").where((F.col("o") < F.col("offset") + F.col("length")) & (F.col("o") + F.length("line") > F.col("offset")))
+    return both.groupBy("doc_id", "email_idx", "page").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, page, count(*) AS n_words FROM words WHERE x0 < 200 - 0.5 AND x1 > 100 + 0.5 AND y0 < 46 - 0.5 AND y1 > 24 + 0.5 GROUP BY 1, 2")
+def rect_intersections(spark, d):
+    w = _words(spark, d)
+    bands = w.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(100.0).alias("left"), F.lit(24.0).alias("top"), F.lit(200.0).alias("right"), F.lit(46.0).alias("bottom"))
+    return spans.intersecting(w, bands, ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_words"))
+
+
+_LRECT = f"{_WORDS}, lr AS (SELECT doc_id, page, line_idx, string_agg(word, ' ' ORDER BY word_idx) AS line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {_LRECT} SELECT * FROM lr WHERE trim(line) <> '' AND y1 - y0 >= 2")
+def styled_lines(spark, d):
+    return spans.line_rectangles(_words(spark, d))
+
+
+@query(f"WITH {_LRECT} SELECT doc_id, page, line_idx, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0) - y1 AS gap FROM lr")
+def next_block_gap(spark, d):
+    return spans.next_gap(spans.line_rectangles(_words(spark, d))).select("doc_id", "page", "line_idx", "gap")
+
+
+@query(f"WITH {_LRECT}, dup AS ({_PDUP.removeprefix(f'WITH {_LINES}, ').replace('h AS (', 'SELECT * FROM (WITH h AS (', 1)})), k AS (SELECT dup.doc_id, dup.line_idx, row_number() OVER (PARTITION BY dup.doc_id ORDER BY dup.line_idx) AS n FROM dup) SELECT lr.doc_id, page, 'EXACT #' || n AS label, x0 / 612 * 612 AS x0, y0 / 792 * 792 AS y0, x1 / 612 * 612 AS x1, y1 / 792 * 792 AS y1 FROM k JOIN lr USING (doc_id, line_idx)")
+def duplicate_annotations(spark, d):
+    """Labelled rectangles of repeated lines, from boxes relative to their pages."""
+    found = paragraph_duplicates(spark, d)
+    numbered = found.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_idx")))
+    rects = spans.line_rectangles(_words(spark, d))
+    pages = rects.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    relative = [geometry.relative(F.col(c), F.lit(612.0 if c[0] == "x" else 792.0)).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")]
+    boxes = numbered.join(rects, ["doc_id", "line_idx"]).select("doc_id", "page", F.lit("exact").alias("kind"), "number", F.lit(1.0).alias("similarity"), *relative)
+    return annotations(boxes, pages)
+
+
+@query(f"WITH {_WORDS}, {_NEEDLES}, k AS (SELECT *, regexp_replace(lower(word), '[.,;:!?''’s()]+$', '') AS key FROM words), occ AS (SELECT DISTINCT k.doc_id, 'promo_' || k.key || '_' || page || '_' || line_idx || '_' || word_idx AS id, line_idx FROM k JOIN needles n ON k.doc_id = n.doc_id AND k.key = n.key) SELECT doc_id, id FROM occ WHERE line_idx = 0")
+def undo_promotions(spark, d):
+    """What is left of the spread redactions after those outside the first line are undone."""
+    found = redact_all_occurrences(spark, d)
+    return review.undo(found, found.where("line_idx > 0")).select("doc_id", "id")
