@@ -250,45 +250,61 @@ def _rooted(bits: int, roots: int, seed: int = 11):
 
 
 def _near(values: list[int], ids: list[int], limit: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links in one group: the trie traversal for small groups; in a large one every value reached is
-    compared with those not reached yet, so a cluster of copies costs its size and not its square."""
+    """The linked sets of one group, each as links to its smallest id: sets that meet under many roots then mostly give the same
+    links. The trie traversal finds them in small groups; in a large one every value reached is compared with those not
+    reached yet, so a cluster of copies costs its size and not its square."""
     if len(values) <= 128:
         order = sorted(range(len(values)), key=values.__getitem__)
-        name = {values[k]: ids[k] for k in order}
+        name, up = dict(zip(values, ids, strict=True)), {i: i for i in ids}
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
         for x, y in linked([values[k] for k in order], (1 << 64 * LANES) - 1, limit):
-            yield name[x], name[y]
+            p, q = top(name[x]), top(name[y])
+            up[max(p, q)] = min(p, q)
+        for i in up:
+            if top(i) != i:
+                yield top(i), i
         return
     table = np.frombuffer(b"".join(v.to_bytes(8 * LANES, "little") for v in values), "<u8").reshape(len(values), -1)
     left = np.arange(len(values))
     while len(left):
         queue, left = [int(left[0])], left[1:]
+        reached = list(queue)
         while queue and len(left):
-            q = queue.pop()
-            near = np.bitwise_count(table[left] ^ table[q]).sum(1) <= limit
-            for other in left[near]:
-                yield ids[q], ids[int(other)]
-                queue.append(int(other))
+            near = np.bitwise_count(table[left] ^ table[queue.pop()]).sum(1) <= limit
+            found = left[near].tolist()
+            queue += found
+            reached += found
             left = left[~near]
+        least = min(ids[k] for k in reached)
+        for k in reached:
+            if ids[k] != least:
+                yield least, ids[k]
 
 
 def _wide_forest(limit: int):
     def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, ids = None, [], []
-        out: list[tuple[int, int]] = []
+        out: set[tuple[int, int]] = set()  # a task's repeated links go once
         batch = lambda: pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
         for b in batches:
             for root, key, name, value in zip(*(b.column(n).to_pylist() for n in ("root", "key", "id", "value")), strict=True):
                 if (root, key) != at:
                     if len(ids) > 1:
-                        out += _near(values, ids, limit)
+                        out.update(_near(values, ids, limit))
                     at, values, ids = (root, key), [], []
                 values.append(int.from_bytes(value, "little"))
                 ids.append(name)
-            if len(out) > 20_000:
+            if len(out) > 200_000:
                 yield batch()
-                out = []
+                out = set()
         if len(ids) > 1:
-            out += _near(values, ids, limit)
+            out.update(_near(values, ids, limit))
         yield batch()
 
     return edges
