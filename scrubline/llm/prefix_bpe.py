@@ -80,7 +80,7 @@ class PrefixBpe:
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(self.symbols[a] + self.symbols[b]) == [a, b]
         return known

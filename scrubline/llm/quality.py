@@ -28,6 +28,8 @@ SAMPLE = 20_000
 #: Words kept as features: in at least so many sampled documents, with at least this chi-square, the strongest first.
 LEAST_DOCS, LEAST_CHI, MOST_WORDS = 8, 60.0, 1024
 PREFIXES = (4, 5, 6, 7)
+#: Words counted at once in a task's memory.
+COUNTED = 100_000
 #: Sites broadcast to the documents, at most.
 BROADCAST_SITES = 100_000
 #: Bounds of each shape measure; a document has the feature of every bound it reaches.
@@ -122,16 +124,23 @@ def _logistic(features: list[list[int]], n: int, target: np.ndarray, rounds: int
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, list[int]] = {}
+
+    def table() -> pa.RecordBatch:
+        columns = [list(counts), *([c[k] for c in counts.values()] for k in range(3))]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["word", "n", "low", "toxic"])
+
     for batch in batches:
-        counts: dict[str, list[int]] = {}
         for text, low, toxic in zip(batch.column("text"), batch.column("low").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             for w in words_of(text.as_py().lower()):
                 c = counts.setdefault(w, [0, 0, 0])
                 c[0] += 1
                 c[1] += low
                 c[2] += toxic
-        columns = [list(counts), *([c[k] for c in counts.values()] for k in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["word", "n", "low", "toxic"])
+            if len(counts) > COUNTED:
+                yield table()
+    yield table()
 
 
 def _chi(n: Column, both: Column, docs: int, positive: int) -> Column:
