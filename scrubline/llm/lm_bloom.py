@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, text_of
@@ -174,21 +174,29 @@ _BUCKET = "kind int, bucket int, m long, bits binary, exact binary, types long,
 class Pass:
     """The filters and exact word counts of some buckets."""
 
-    def __init__(self, rows: list, n_bits: int):
+    def __init__(self, rows: Iterable, n_bits: int):
         self.n_bits = n_bits
+        m, start = (np.zeros((2, 1 << n_bits), np.int64) for _ in range(2))
+        bits: list[list[np.ndarray]] = [[], []]
+        ends = [0, 0]
+        words: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for r in rows:  # one partition of buckets at a time is on its way
+            kind = r["kind"]
+            m[kind, r["bucket"]], start[kind, r["bucket"]] = r["m"], ends[kind]
+            ends[kind] += len(r["bits"])
+            bits[kind].append(np.frombuffer(r["bits"], np.uint8))
+            if kind == 0:
+                hashes, counts = _unpacked(r["exact"])
+                words.append((r["bucket"], hashes, counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts))
+        words.sort(key=lambda w: w[0])
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        self.words = joined([w[1] for w in words], np.uint64)
+        self.counts = joined([w[2] for w in words], np.uint32)
+        words.clear()
         self.filters = []
         for kind in (0, 1):
-            own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
-            m, start = np.zeros(1 << n_bits, np.int64), np.zeros(1 << n_bits, np.int64)
-            at = 0
-            for r in own:
-                m[r["bucket"]], start[r["bucket"]] = r["m"], at
-                at += len(r["bits"])
-            self.filters.append((m, start, np.frombuffer(b"".join(r["bits"] for r in own), np.uint8)))
-            if kind == 0:
-                exact = [_unpacked(r["exact"]) for r in own]
-                self.words = np.concatenate([x[0] for x in exact]) if own else np.empty(0, np.uint64)
-                self.counts = np.concatenate([x[1] for x in exact]).astype(np.uint32 if not own or max(x[1].max() for x in exact) < 1 << 32 else np.int64) if own else np.empty(0, np.uint32)
+            self.filters.append((m[kind], start[kind], joined(bits[kind], np.uint8)))
+            bits[kind].clear()
 
     def levels(self, kind: int, hashes: np.ndarray) -> np.ndarray:
         """For each hash the last level that is found, 0 if none, or if its bucket isn't in this pass."""
@@ -325,13 +333,13 @@ def _scored(sent: Broadcast):
     return rows
 
 
-def _passes(spark: SparkSession, buckets: DataFrame, sizes: list, pass_bytes: int) -> Iterator[list]:
+def _passes(buckets: DataFrame, sizes: list, pass_bytes: int) -> Iterator[Iterator]:
     """The buckets' rows in order, as many at a time as fit; the driver holds one pass."""
     group, held = [], 0
     for r in [*sorted(sizes, key=lambda r: r["bucket"]), None]:
         if r is None or (group and held + r["size"] > pass_bytes):
             low, high = group[0], group[-1]
-            yield buckets.where(F.col("bucket").between(low, high)).select("kind", "bucket", "m", "bits", "exact").collect()
+            yield buckets.where(F.col("bucket").between(low, high)).select("kind", "bucket", "m", "bits", "exact").toLocalIterator()
             group, held = [], 0
         if r is not None:
             group.append(r["bucket"])
@@ -361,7 +369,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     sizes = buckets.groupBy("bucket").agg(F.sum(F.octet_length("bits") + F.coalesce(F.octet_length("exact"), F.lit(0))).alias("size")).collect()  # at most MOST_BUCKETS rows
     state = rows.select("doc_id", "held_out", "text", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("logs"), F.lit(b"").alias("words"), F.lit(b"").alias("pairs"))
     shape = f"doc_id {kind}, held_out boolean, text string, known long, logs double, words binary, pairs binary"
-    passes = _passes(spark, buckets, sizes, pass_bytes) if sizes else iter([[]])
+    passes = _passes(buckets, sizes, pass_bytes) if sizes else iter([[]])
     tables = next(passes)
     while tables is not None:
         state = state.mapInArrow(_probed(spark.sparkContext.broadcast(Pass(tables, n_bits))), shape)
