@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .cached_encoder import encoder
 from .common import checkpoint, text_of
 
-STEP = 1024
+STEP = 128
 
 
 def length_column(text: Column, tokenizer: str) -> Column:
