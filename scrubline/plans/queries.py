@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,9 +124,11 @@ def paragraph_duplicates(spark, d):
 
 @query(f"SELECT (SELECT count(*) FROM (WITH {_PARAS} SELECT * FROM paras)) AS blocks_count, (SELECT count(*) FROM ({_PDUP})) AS exact_count, (SELECT count(*) FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {NEAR}) AS near_count")
 def dup_summary(spark, d):
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     near = vectors.near_pairs(table(spark, d, "embeddings"), NEAR)
-    return one(_paras(spark, d), "blocks_count").join(one(paragraph_duplicates(spark, d), "exact_count"), F.lit(True)).join(one(near, "near_count"), F.lit(True))
+    parts = {"blocks_count": _paras(spark, d), "exact_count": paragraph_duplicates(spark, d), "near_count": near}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit(name)) for name, df in parts.items()]
+    rows = counts[0].unionAll(counts[1]).unionAll(counts[2])
+    return rows.agg(*(F.max(F.when(F.col("of") == name, F.col("n"))).alias(name) for name in parts))
 
 
 @query("WITH n AS (SELECT doc_id, " + _email_norm("text") + " AS n FROM documents) SELECT a.doc_id AS source_id, b.doc_id AS target_id FROM n a JOIN n b ON a.n = b.n AND a.doc_id < b.doc_id AND length(a.n) >= 30 AND a.doc_id = (SELECT min(doc_id) FROM n c WHERE c.n = a.n)")
@@ -541,17 +544,15 @@ def parse_props(spark, d):
 
 @query()
 def fuzzy_documents(spark, d):
-    """Documents of a language with a near length that share their first line, and how much of the first the second covers."""
-    rows = _docs(spark, d).select("doc_id", "lang", text.normalize_email(F.col("text")).alias("n"), F.element_at(F.split(text.normalize_email(F.col("text")), " "), 1).alias("w"))
+    """Documents of a language with a near length that begin alike, and how much of the first the second covers."""
+    rows = _docs(spark, d).select("doc_id", "lang", text.normalize_email(F.col("text")).alias("n"))
     rows = rows.where(F.length("n") >= email.LEAST_SOURCE).select("doc_id", "lang", "n", F.substring("n", 1, 24).alias("lead"))
     one = rows.groupBy("lang", "lead").agg(F.min("doc_id").alias("first"))
     base = rows.join(one, ["lang", "lead"]).where("doc_id = first").select("lang", "lead", F.col("doc_id").alias("source_id"), F.col("n").alias("source"))
     pairs = rows.join(base, ["lang", "lead"]).where((F.col("doc_id") > F.col("source_id")) & (F.length("n") * 10 >= F.length("source") * 9) & (F.length("source") * 10 >= F.length("n") * 9) & (F.col("n") != F.col("source")))
 
     @F.arrow_udf("double")
-    def covered(a, b):
-        import pyarrow as pa
-
+    def covered(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([email.coverage(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
 
     return pairs.withColumn("c", covered("source", "n")).where(F.col("c") >= email.COVERAGE).select("source_id", F.col("doc_id").alias("target_id"), F.bround("c", 3).alias("coverage"))
