@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import similar
 from ..operators.graph import components
 from .common import checkpoint
 
@@ -189,150 +190,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "value").select("doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similarity 0.8 and more of word shingles: lanes of 64 bits, and the share of differing bits that still links. Sets
-#: with Jaccard similarity 0.8 have a cosine of 0.89 and differ in 0.15 of the bits on average.
-LANES, APART = 8, 0.176
-#: Trie roots: bits agreed on, and the chance that a pair of similarity 0.8 meets under none of them.
-LEAST_BITS, MISSED = 16, 0.02
+#: Jaccard similarity of word-shingle sets from which documents are near-duplicates.
+SIMILAR = 0.8
+#: Texts that are sent to every worker by their hashes alone when their shingles are wanted.
+BROADCAST = 500_000
 
 
-def wide_fingerprint(text: bytes, width: int = 5, lanes: int = LANES) -> bytes:
-    """As :func:`fingerprint`, with several 64-bit lanes from mixes of each shingle's hash."""
-    words = text.lower().split()
-    if not words:
-        return bytes(8 * lanes)
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    starts, ends = [0], [len(joined)]
-    if len(words) > width:
-        spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts += (spaces[: len(words) - width] + 1).tolist()
-        ends = [*spaces[width - 1 :].tolist(), len(joined)]
-    votes = np.zeros((lanes, 64), np.int64)
-    for k in range(0, len(starts), 65536):
-        hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts[k : k + 65536], ends[k : k + 65536], strict=True)], np.uint64)
-        for lane in range(lanes):
-            x = hashes + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for at in range(0, len(bits), 128):  # byte sums of short runs, then their sum
-                votes[lane] += bits[at : at + 128].sum(0, dtype=np.uint8)
-    return np.packbits(votes.reshape(-1) * 2 > len(starts), bitorder="little").tobytes()
-
+def set_column(text: Column, width: int) -> Column:
+    """A hash of a text's set of distinct shingles, computed in Arrow batches."""
 
-def wide_column(text: Column, width: int = 5) -> Column:
-    """The wide fingerprint as binary, computed in Arrow batches; null counts as empty."""
-
-    @F.arrow_udf("binary")
+    @F.arrow_udf("long")
     def udf(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint((t.as_py() or "").encode(), width) for t in texts], pa.binary())
+        found = (xxhash.xxh64_intdigest(similar.shingles(t.as_py(), width).tobytes()) for t in texts)
+        return pa.array(np.array(list(found), np.uint64).view(np.int64))
 
     return udf(text)
 
 
-def _rooted(bits: int, roots: int, seed: int = 11):
-    """Every fingerprint under each root: the values of that root's bits are the key."""
-    chosen = [np.random.default_rng([seed, k]).choice(64 * LANES, bits, replace=False) for k in range(roots)]
+def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """The ``pairs(a, b)`` of sets that have a Jaccard similarity of ``SIMILAR``, from their shingles. ``names(id, hash)`` tells a
+    set's text by its hash, ``texts(hash, text)`` has the texts."""
+    pairs = checkpoint(pairs)
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = checkpoint(names.join(ids, "id", "left_semi"))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, ids = b.column("value"), b.column("id")
-            for at in range(0, b.num_rows, 2048):
-                part = values.slice(at, 2048)
-                table = np.unpackbits(np.frombuffer(b"".join(v.as_py() for v in part), np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
-                for k, own in enumerate(chosen):
-                    key = table[:, own].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(key), ids.slice(at, 2048), part], ["root", "key", "id", "value"])
-
-    return rows
-
-
-def _near(values: list[int], ids: list[int], limit: int) -> Iterator[tuple[int, int]]:
-    """The linked sets of one group, each as links to its smallest id: sets that meet under many roots then mostly give the same
-    links. The trie traversal finds them in small groups; in a large one every value reached is compared with those not
-    reached yet, so a cluster of copies costs its size and not its square."""
-    if len(values) <= 128:
-        order = sorted(range(len(values)), key=values.__getitem__)
-        name, up = dict(zip(values, ids, strict=True)), {i: i for i in ids}
-
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for x, y in linked([values[k] for k in order], (1 << 64 * LANES) - 1, limit):
-            p, q = top(name[x]), top(name[y])
-            up[max(p, q)] = min(p, q)
-        for i in up:
-            if top(i) != i:
-                yield top(i), i
-        return
-    table = np.frombuffer(b"".join(v.to_bytes(8 * LANES, "little") for v in values), "<u8").reshape(len(values), -1)
-    left = np.arange(len(values))
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        reached = list(queue)
-        while queue and len(left):
-            near = np.bitwise_count(table[left] ^ table[queue.pop()]).sum(1) <= limit
-            found = left[near].tolist()
-            queue += found
-            reached += found
-            left = left[~near]
-        least = min(ids[k] for k in reached)
-        for k in reached:
-            if ids[k] != least:
-                yield least, ids[k]
-
-
-def _wide_forest(limit: int):
-    def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, ids = None, [], []
-        out: set[tuple[int, int]] = set()  # a task's repeated links go once
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-        for b in batches:
-            for root, key, name, value in zip(*(b.column(n).to_pylist() for n in ("root", "key", "id", "value")), strict=True):
-                if (root, key) != at:
-                    if len(ids) > 1:
-                        out.update(_near(values, ids, limit))
-                    at, values, ids = (root, key), [], []
-                values.append(int.from_bytes(value, "little"))
-                ids.append(name)
-            if len(out) > 200_000:
-                yield batch()
-                out = set()
-        if len(ids) > 1:
-            out.update(_near(values, ids, limit))
-        yield batch()
+    @F.arrow_udf("binary")
+    def items(found: pa.Array) -> pa.Array:
+        return pa.array([similar.shingles(t.as_py(), width).tobytes() for t in found], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+            both = similar.shared(p, q)
+            out.append(both >= SIMILAR * (len(p) + len(q) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
 
-    return edges
+    sets = checkpoint(texts.join(side, "hash").dropDuplicates(["id"]).select("id", items("text").alias("items")))
+    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    return rows.where(near("x", "y")).select("a", "b")
 
 
-def similar_classes(values: DataFrame) -> DataFrame:
-    """``(id, component)`` for the rows of ``values(id, value)`` with distinct wide fingerprints that have a similar one.
+def similar_classes(sets: DataFrame, texts: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """``(id, component)`` for the sets of ``sets(id, text)`` that have a similar one.
 
-    The number of bits that lead to a trie root grows with the logarithm of the rows, so groups keep their
-    size, and the number of roots so that the chance of a miss keeps to ``MISSED``.
+    Each set is first compared with one that it meets most often, so that most of a large group is joined by as many
+    comparisons as it has members; then all candidates from different components are compared.
     """
-    n = values.count()
-    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, n)))) - 2)
-    roots = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - 0.1514) ** bits)))
-    dealt = values.mapInArrow(_rooted(bits, roots), "root int, key long, id long, value binary").repartition("root", "key").sortWithinPartitions("root", "key")
-    return components(dealt.mapInArrow(_wide_forest(int(APART * 64 * LANES)), "a long, b long")).withColumnRenamed("node", "id")
+    met = similar.meetings(sets, width, SIMILAR)
+    most = met.where("id <> hub").groupBy("id").agg(F.mode("hub", True).alias("hub"))
+    edges = checkpoint(verified(most.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), texts, names, width))
+    parts = components(edges).withColumnRenamed("node", "id")
+    rows = met.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    more = verified(similar.candidates(rows, SIMILAR, True), texts, names, width)
+    return components(edges.unionAll(more)).withColumnRenamed("node", "id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``docs`` with one row of every group of documents whose ``width``-word shingles are similar by 0.8 or more, as wide
-    fingerprints tell; all columns stay. Kept is the row with the smallest id (null last), then the smallest
+    """``docs`` with one row of every group of documents whose sets of ``width``-word shingles are linked by Jaccard similarities
+    of ``SIMILAR`` or more; all columns stay. Kept is the row with the smallest id (null last), then the smallest
     text hash; equal repeated rows of it are one row. Null and empty texts are one group."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    prints = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), wide_column(text, width).alias("value"))
-    prints = checkpoint(prints.withColumn("id", F.xxhash64("value")))
+    prints = checkpoint(docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), set_column(text, width).alias("id")))
     best = F.min(F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))).alias("best")
-    values = checkpoint(prints.groupBy("id").agg(F.min("value").alias("value"), best))
-    named = values.select("id", "best").join(similar_classes(values.select("id", "value")), "id", "left")
+    values = checkpoint(prints.groupBy("id").agg(best))
+    texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
+    sets = texts.select(set_column(F.col("text"), width).alias("id"), "text")
+    named = values.join(similar_classes(sets, texts, values.select("id", F.col("best.hash").alias("hash")), width), "id", "left")
     kept = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash"))
     kept = checkpoint(kept)

@@ -319,6 +319,28 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def _kept(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.keep_one(rows).collect())
+
+
+def _jaccard(a, b, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_verifies_similarity(spark):
+    """A repeated line doesn't make different texts near-duplicates, nor the same text with it another one."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    line = text(10)
+    apart = [f"{text(200)} {' '.join([line] * 30)}" for _ in range(6)]
+    base = text(300)
+    same = [base, f"{base} {' '.join([line] * 5)}"]
+    assert _jaccard(*apart[:2]) < 0.2 and _jaccard(*same) >= 0.8
+    assert _kept(spark, apart + same) == list(range(7))
+
+
 # 7 sharding
 def plain_best_fit(sizes, capacity):
     bins, where = [], [0] * len(sizes)
