@@ -341,6 +341,36 @@ def test_keep_one_verifies_similarity(spark):
     assert _kept(spark, apart + same) == list(range(7))
 
 
+@pytest.mark.parametrize(("common", "own"), [(4, (0, 1)), (12, (1, 2)), (20, (2, 3)), (6, (0, 1))])
+def test_keep_one_misses_no_short_pair(spark, common, own):
+    """Every pair of similarity 0.8 or more is found, however few its shingles."""
+    rng = random.Random(common)
+    texts = []
+    for _ in range(40):
+        words = [f"u{rng.randrange(10**9)}" for _ in range(common + 4)]
+        texts += [" ".join([*words, *(f"{side}{k}" for k in range(n))]) for side, n in zip("xy", own, strict=True)]
+    assert all(_jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert _kept(spark, texts) == list(range(0, 80, 2))
+
+
+def test_keep_one_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets = []
+    for _, t in rows:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    up = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            old, new = up[j], up[i]
+            up = [new if x == old else x for x in up]
+    least = {}
+    for k, (name, _) in enumerate(rows):
+        least.setdefault(up[k], name)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(least.values())
+
+
 # 7 sharding
 def plain_best_fit(sizes, capacity):
     bins, where = [], [0] * len(sizes)
