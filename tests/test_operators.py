@@ -1,13 +1,16 @@
 """Hand-made cases."""
 
+import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scrubline.functions import geometry, text
 from scrubline.operators import dedup, email, entities, paragraphs, raster, reflow, review, spans, vectors
+from scrubline.plans import queries
 from scrubline.sources import sinks, tables
 
 
@@ -194,3 +197,32 @@ def test_stream_keeps_first_texts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("first_texts").count() == 2
+
+
+def _fuzzy_by_brute_force(rows):
+    texts = {}
+    for i, lang, t in sorted(rows):
+        n = re.sub(r"[ \t\n\x0b\f\r]+", " ", (t or "").lower()).strip(" ")
+        if len(n) >= 30:
+            texts.setdefault((lang, n), []).append(i)
+    found = set()
+    for ((la, a), x), ((lb, b), y) in itertools.permutations(texts.items(), 2):
+        p, q = set(a.split(" ")), set(b.split(" "))
+        if x[0] < y[0] and la == lb and 0.9 <= len(a) / len(b) <= 1 / 0.9 and len(p & q) >= 0.6 * max(len(p), len(q)) and email.coverage(a, b) >= 0.7:
+            found |= {(x[0], i) for i in y}
+    return found
+
+
+def test_fuzzy_documents_against_brute_force(spark, tmp_path):
+    """Near copies that begin differently, or are near a later document only, are found."""
+    rng = random.Random(2)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 30, 60]))]
+        other = words[: len(words) // 2] + [f"o{rng.randrange(10**6)}" for _ in words[len(words) // 2 :]]
+        for v in (other, words, ["Opening", *words[1:]], [*words[:-1], "end"], words):
+            rows.append((len(rows), "en" if g % 3 else None, " ".join(v)))
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = _fuzzy_by_brute_force(rows)
+    assert {(1, 2), (1, 3), (2, 3), (2, 4)} & expected
+    assert {(r.source_id, r.target_id) for r in queries.QUERIES["fuzzy_documents"](spark, str(tmp_path)).collect()} == expected
