@@ -64,12 +64,13 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return keys[order], rows["n"].to_numpy()[order]
 
 
-def _first(items: np.ndarray, share: float, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def rare_first(items: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shingles in the order that :func:`common_shingles` gives."""
     weight = np.zeros(len(items), np.int64)
     if len(keys) and len(items):
         at = np.minimum(np.searchsorted(keys, items), len(keys) - 1)
         weight = np.where(keys[at] == items, counts[at], 0)
-    return items[np.lexsort((items, weight))[: prefix_length(len(items), share)]]
+    return items[np.lexsort((items, weight))]
 
 
 def meetings(texts: DataFrame, width: int, share: float) -> DataFrame:
@@ -81,7 +82,7 @@ def meetings(texts: DataFrame, width: int, share: float) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 found = [shingles(t, width) for t in b.column("text").slice(at, 256).to_pylist()]
-                first = pa.array([_first(x, share, keys, counts).tobytes() for x in found], pa.binary())
+                first = pa.array([rare_first(x, keys, counts)[: prefix_length(len(x), share)].tobytes() for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(at, 256), pa.array([len(x) for x in found], pa.int64()), first], ["id", "n", "first"])
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,6 +143,12 @@ def contained_documents(spark, d):
     return keyed.join(first, "h").where("doc_id <> source_id").select("source_id", F.col("doc_id").alias("target_id"))
 
 
+@query("WITH n AS (SELECT doc_id, " + _email_norm("text") + " AS n FROM documents) SELECT a.doc_id AS source_id, b.doc_id AS target_id FROM n a JOIN n b ON contains(b.n, a.n) AND a.doc_id <> b.doc_id AND length(a.n) >= 30 AND a.doc_id = (SELECT min(doc_id) FROM n c WHERE c.n = a.n)")
+def contained_texts(spark, d):
+    """Documents whose collapsed text holds another's, whole or as a part, with the first document of that text."""
+    return dedup.contained_texts(_docs(spark, d))
+
+
 @query(f"WITH d AS (SELECT doc_id, {_email_norm('text')} AS n FROM documents), b AS (SELECT item_id, {_email_norm('text')} AS n FROM benchmark WHERE length({_email_norm('text')}) >= 30) SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(d.n, b.n)")
 def benchmark_containment(spark, d):
     return dedup.contained_items(_docs(spark, d), table(spark, d, "benchmark"))

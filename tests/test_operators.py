@@ -226,3 +226,16 @@ def test_fuzzy_documents_against_brute_force(spark, tmp_path):
     expected = _fuzzy_by_brute_force(rows)
     assert {(1, 2), (1, 3), (2, 3), (2, 4)} & expected
     assert {(r.source_id, r.target_id) for r in queries.QUERIES["fuzzy_documents"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_contained_texts_against_brute_force(spark):
+    """Proper parts are found, cut inside words too."""
+    rng = random.Random(5)
+    whole = [" ".join(f"w{rng.randrange(10**6)}x" for _ in range(40)) for _ in range(6)]
+    texts = whole + [t[7:200] for t in whole] + [whole[0][10:45], f"x {whole[1]} y", whole[2], whole[3][:31], "q" * 35, "a" + "q" * 40, whole[4].upper(), "short", None]
+    rows = list(enumerate(texts))
+    n = {i: re.sub(r"[ \t\n\x0b\f\r]+", " ", (t or "").lower()).strip(" ") for i, t in rows}
+    expected = {(a, b) for a in n for b in n if a != b and len(n[a]) >= 30 and n[a] in n[b] and a == min(c for c in n if n[c] == n[a])}
+    assert {(6, 0), (12, 0), (1, 13), (16, 17)} <= expected
+    got = [(r.source_id, r.target_id) for r in dedup.contained_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
