@@ -4,7 +4,7 @@ Word and bigram counts of the training documents are gathered by hash range (the
 hash), so any bucket is a near-equal share of the distinct n-grams. Each bucket becomes its own Bloom
 filter: an n-gram of count c is inserted together with every level from 1 to ``1 + floor(log_BASE c)``,
 and a query probes level after level until one is missing. A level stands for the mean count of the
-n-grams stored at it. Bigrams seen once are not stored; they fall to the word model.
+n-grams stored at it.
 
 The filters are sent to the workers in passes of at most ``PASS_BYTES``; each pass fills in the levels of
 the n-grams that fall in its buckets, so a larger corpus takes more passes and never a larger
@@ -160,8 +160,6 @@ def _bucket(table: pa.Table) -> pa.Table:
     hashes, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
     exact = _packed(hashes, counts) if kind == 0 else None
     types, total, once, twice = len(hashes), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum())
-    if kind:
-        hashes, counts = hashes[counts > 1], counts[counts > 1]
     levels = level_of(counts)
     m, bits = _filter(hashes, levels)
     by_level = [np.bincount(levels, w, LEVELS).astype(np.int64).tolist() for w in (None, counts)]
@@ -282,8 +280,7 @@ class Model:
         before = np.concatenate([words[-1:], words[:-1]])  # before the first word: as often as there are ends
         count, both, context = self.means[0][words], self.means[1][pairs], self.means[0][before]
         if left_out:
-            # the last stored bigram of count 2 would not be stored with one occurrence less
-            count, both, context = np.maximum(count - 1, 0), np.where(both - 1 >= 2, both - 1, 0), np.maximum(context - 1, 0)
+            count, both, context = np.maximum(count - 1, 0), np.maximum(both - 1, 0), np.maximum(context - 1, 0)
         single = np.maximum(count - self.discount, 0) / self.n + self.discount * self.v / self.n / (self.v + 1)
         return before, single, np.where(context > 0, np.minimum(1.0, both / np.maximum(context, 1)), 0.0)
 

@@ -170,6 +170,13 @@ def test_scores(spark, documents, odd):
     assert {r.score for r in lm_bloom.score_documents(odd, F.lit(True)).collect()} == {0.0}
 
 
+def test_bigrams_seen_once_count(spark):
+    rows = [(i, "alpha beta gamma") for i in range(30)] + [(30, "alpha delta"), (31, "epsilon zeta"), (100, "alpha delta"), (101, "alpha zeta")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_bloom.score_documents(frame, F.col("doc_id") >= 100).collect()}
+    assert abs(got[100].base_score - got[101].base_score) < 1e-9 and got[100].score > got[101].score + 0.1
+
+
 def test_levels_survive_the_filter():
     rng = np.random.default_rng(3)
     hashes, counts = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64)), None
