@@ -241,6 +241,35 @@ def entity_exceptions(spark, d):
     return entities.without_exceptions(_fixture(spark), exceptions, links).select("doc_id", "text", "category", "reasoning")
 
 
+# the same rules over the rule entities of whole documents and the fixture's, whose ids are negative
+_ALL_SQL = f"{_matches_sql()}, {_FIX_SQL}, entities AS (SELECT e.doc_id, replace(coalesce(d.text, ''), chr(1), ' ') AS content, e.text, category, e.\"offset\", e.length FROM ents e JOIN documents d USING (doc_id) UNION ALL SELECT -doc_id, content, text, category, \"offset\", length FROM fix)"
+
+
+def _all_entities(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    content = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\x01", " ").alias("content"))
+    fixed = _fixture(spark).withColumn("doc_id", -F.col("doc_id"))
+    return entities.recognise(docs).join(content, "doc_id").select(fixed.columns).unionByName(fixed)
+
+
+@query(f"WITH {_ALL_SQL}, c AS (SELECT *, lower(substr(content, greatest(0, \"offset\" - 20) + 1, \"offset\" - greatest(0, \"offset\" - 20))) AS b FROM entities) SELECT doc_id, \"offset\", text, category, CASE category WHEN 'DateTime' THEN ({_BORN}) WHEN 'Organization' THEN ({_SCHOOL}) ELSE true END AS is_kept, CASE category WHEN 'DateTime' THEN 'DateOfBirth' WHEN 'Organization' THEN 'School' ELSE category END AS final_category FROM c")
+def document_entity_validate(spark, d):
+    return entities.validate(_all_entities(spark, d)).select("doc_id", "offset", "text", "category", "is_kept", "final_category")
+
+
+@query(f"WITH {_ALL_SQL} SELECT doc_id, (bool_or(category = 'Person') AND bool_or(category <> 'Person')) AS is_needed FROM entities GROUP BY doc_id")
+def document_linking_needed(spark, d):
+    return entities.linking_needed(_all_entities(spark, d))
+
+
+@query(f"WITH {_ALL_SQL}, need AS (SELECT doc_id, (bool_or(category = 'Person') AND bool_or(category <> 'Person')) AS n FROM entities GROUP BY doc_id), links AS (SELECT -doc_id AS doc_id, text, owner FROM {_values(_LINKS, 'doc_id, text, owner')}), tested AS (SELECT e.*, CASE WHEN n THEN lower(owner) ELSE lower(e.text) END AS t FROM entities e JOIN need USING (doc_id) LEFT JOIN links ON links.doc_id = e.doc_id AND links.text = e.text) SELECT doc_id, \"offset\", text, category, 'Identified as sensitive PII (' || category || ').' AS reasoning FROM tested WHERE t IS NULL OR t NOT IN ({', '.join(map(_quoted, _EXCEPTIONS))})")
+def document_entity_exceptions(spark, d):
+    links = spark.createDataFrame([(-i, t, o) for i, t, o in _LINKS], "doc_id long, text string, owner string")
+    exceptions = spark.createDataFrame([(x,) for x in _EXCEPTIONS], "value string")
+    found = _all_entities(spark, d).drop("content")
+    return entities.without_exceptions(found, exceptions, links).select("doc_id", "offset", "text", "category", "reasoning")
+
+
 #: Words that a sensitive-content rule looks for in lines, and the user's exceptions to it.
 _RULE, _RULE_EXCEPTIONS = r"(?i)(license|licensed|copyright|confidential)", ["released under the mit license."]
 

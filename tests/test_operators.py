@@ -239,3 +239,12 @@ def test_contained_texts_against_brute_force(spark):
     assert {(6, 0), (12, 0), (1, 13), (16, 17)} <= expected
     got = [(r.source_id, r.target_id) for r in dedup.contained_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_entity_rules_read_the_documents(spark, tmp_path):
+    rows = [(50, "Ann was born on 01/02/1990 and left on 03/04/2020."), (51, "write to Dan@example.org or eve@example.org")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [r for r in queries.QUERIES[name](spark, str(tmp_path)).collect() if r.doc_id > 0]
+    assert {(r.text, r.is_kept) for r in run("document_entity_validate") if r.category == "DateTime"} == {("01/02/1990", True), ("03/04/2020", False)}
+    assert {(r.doc_id, r.is_needed) for r in run("document_linking_needed")} == {(50, False), (51, False)}
+    assert {r.text for r in run("document_entity_exceptions") if r.category == "Email"} == {"eve@example.org"}
