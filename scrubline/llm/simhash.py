@@ -201,8 +201,7 @@ def set_column(text: Column, width: int) -> Column:
 
     @F.arrow_udf("long")
     def udf(texts: pa.Array) -> pa.Array:
-        found = (xxhash.xxh64_intdigest(similar.shingles(t.as_py(), width).tobytes()) for t in texts)
-        return pa.array(np.array(list(found), np.uint64).view(np.int64))
+        return pa.array([similar.set_id(similar.shingles(t.as_py(), width)) for t in texts], pa.int64())
 
     return udf(text)
 
@@ -233,13 +232,13 @@ def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -
     return rows.where(near("x", "y")).select("a", "b")
 
 
-def similar_classes(sets: DataFrame, texts: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """``(id, component)`` for the sets of ``sets(id, text)`` that have a similar one.
+def similar_classes(texts: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """``(id, component)`` for the shingle sets of ``texts(hash, text)`` that have a similar one.
 
     Each set is first compared with one that it meets most often, so that most of a large group is joined by as many
     comparisons as it has members; then all candidates from different components are compared.
     """
-    met = similar.meetings(sets, width, SIMILAR)
+    met = similar.meetings(texts.select("text"), width, SIMILAR)
     most = met.where("id <> hub").groupBy("id").agg(F.mode("hub", True).alias("hub"))
     edges = checkpoint(verified(most.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), texts, names, width))
     parts = components(edges).withColumnRenamed("node", "id")
@@ -257,8 +256,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     best = F.min(F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))).alias("best")
     values = checkpoint(prints.groupBy("id").agg(best))
     texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
-    sets = texts.select(set_column(F.col("text"), width).alias("id"), "text")
-    named = values.join(similar_classes(sets, texts, values.select("id", F.col("best.hash").alias("hash")), width), "id", "left")
+    named = values.join(similar_classes(texts, values.select("id", F.col("best.hash").alias("hash")), width), "id", "left")
     kept = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash"))
     kept = checkpoint(kept)

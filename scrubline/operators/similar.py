@@ -37,6 +37,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)], np.uint64))
 
 
+def set_id(items: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes())).view(np.int64))
+
+
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """How many shingles two arrays of :func:`shingles` have in common."""
     return len(np.intersect1d(a, b, assume_unique=True))
@@ -51,8 +56,8 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                found = [shingles(t, width) for t in b.column("text").slice(at, 256).to_pylist()]
+            for at in range(0, b.num_rows, 64):
+                found = [shingles(t, width) for t in b.column("text").slice(at, 64).to_pylist()]
                 keys, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
 
@@ -75,15 +80,18 @@ def rare_first(items: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.nd
 
 def meetings(texts: DataFrame, width: int, share: float) -> DataFrame:
     """``key``, ``id``, ``n``, ``pos`` and ``hub`` wherever texts of ``texts(id, text)`` with different ids meet under one of
-    their first shingles; the hub is the text of that shingle that has it foremost. Equal ids are one text."""
+    their first shingles; the hub is the text of that shingle that has it foremost. Equal ids are one text; without the
+    column, :func:`set_id` is the id."""
+    own = "id" in texts.columns
     keys, counts = common_shingles(texts.select("text"), width)
 
     def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                found = [shingles(t, width) for t in b.column("text").slice(at, 256).to_pylist()]
+            for at in range(0, b.num_rows, 64):
+                found = [shingles(t, width) for t in b.column("text").slice(at, 64).to_pylist()]
+                ids = b.column("id").slice(at, 64) if own else pa.array([set_id(x) for x in found], pa.int64())
                 first = pa.array([rare_first(x, keys, counts)[: prefix_length(len(x), share)].tobytes() for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, 256), pa.array([len(x) for x in found], pa.int64()), first], ["id", "n", "first"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in found], pa.int64()), first], ["id", "n", "first"])
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
