@@ -1,24 +1,34 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Word and bigram counts of the training documents are gathered by hash range (the first bits of a 64-bit
-hash), so any bucket is a near-equal share of the distinct n-grams. Each bucket becomes its own Bloom
-filter: an n-gram of count c is inserted together with every level from 1 to ``1 + floor(log_BASE c)``,
-and a query probes level after level until one is missing. A level stands for the mean count of the
-n-grams stored at it.
-
-The filters are sent to the workers in passes of at most ``PASS_BYTES``; each pass fills in the levels of
-the n-grams that fall in its buckets, so a larger corpus takes more passes and never a larger
-broadcast. A document's levels are two bytes a token and are kept in a checkpoint; the mixture weights are then
-estimated from all training documents with each occurrence left out of its own counts, and the scores follow
-from levels and weights. The add-one base score comes from the exact counts, sent with the same buckets.
-
-P(w | v) = weight(level of v) * count(v w) / count(v) + (1 - weight) * P(w), and
-P(w) = max(count - D, 0) / N + D * V / N / (V + 1) with D = n1 / (n1 + 2 n2).
+A document is its words and one end; every token is scored after the one before it, the first after a start.
+Word and bigram counts of the training documents are gathered by bucket: the first bits of the 64-bit hash of
+the word, or of the bigram's first word. A first word that a sample shows to be frequent has its bigrams spread
+over several buckets, so buckets stay near equal; where counts are added up changes no result.
+
+Each bucket's bigrams, those seen once too, become a Bloom filter: a bigram of count c is inserted with every
+level from 1 to ``level_of(c)``, and a query probes level after level until one is missing. A level stands for
+one fixed count, the middle of its range. Words, which the base score needs with exact counts, are a sorted
+table that also holds, for each word, the stored counts and the number of the bigrams it begins.
+
+Buckets are joined into segments of about ``SEGMENT_BYTES``, one broadcast each. A task reads its texts once and
+takes the segments one after the other for every batch of documents, so a larger corpus has more segments, never
+larger ones, and nothing is written back between them. The driver holds one segment at a time.
+
+The probabilities are absolute discounting, with Q the count that a bigram's level stands for and the sums over
+all w taken from the stored counts themselves, so that they add up to one:
+
+P(w | v) = max(Q(v w) - D2, 0) / Z(v) + D2 T(v) / Z(v) P(w),   Z(v) = sum of Q(v w) + E (V + 1 - T(v)) (1 - D2),
+P(w) = max(c(w) - D1, 0) / N + D1 V / N / (V + 1),
+
+T(v): bigrams that v begins; D = n1 / (n1 + 2 n2 + 1) of words and of bigrams. E is the chance that the filter affirms a
+bigram it doesn't hold; a bucket probes its first level so often that E V is at most about 1/16, and what such answers
+add on average is in Z. All unknown words together are one word of P.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +40,15 @@ from pyspark.sql import functions as F
 from .common import checkpoint, text_of
 
 BASE, LEVELS = 1.5, 64
-BITS_PER_ENTRY, PROBES = 12, 6
-PASS_BYTES = 192 << 20
-#: N-grams held in memory before they are sorted and sent on, and words whose hashes are kept.
-CHUNK, CACHE = 3_000_000, 400_000
-#: Bytes of text per bucket, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 18
+#: Probes at the first level beyond the bits of the vocabulary's size, and at every further level.
+MORE_PROBES, LEVEL_PROBES = 4, 10
+SEGMENT_BYTES = 64 << 20
+#: N-grams held in memory before they are sorted and sent on, tokens scored at once, and words whose hashes are kept.
+CHUNK, BATCH, CACHE = 2_000_000, 1_000_000, 400_000
+#: Bytes of text per bucket, of a piece of a long text, and of the sample that finds frequent words; most frequent words.
+BUCKET_BYTES, PIECE_BYTES, SAMPLE_BYTES, MOST_HOT = 16 << 20, 4 << 20, 32 << 20, 1 << 16
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\t"))
-#: Steps of the logarithm of a probability ratio in the estimate of the weights.
-_LOW, _STEP, _BINS = -4.0, 0.05, 280
+_SPACE = b" \t\n\v\f\r"
 
 
 class _Hashes(dict):
@@ -52,15 +62,21 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.encode().lower().split()
-
-
-def _tokens(text: str) -> np.ndarray:
-    words = words_of(text)
-    out = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words) + 0) if words else np.empty(0, np.uint64)
-    return np.append(out, END)
+def pieces(text: str, size: int | None = None) -> Iterator[np.ndarray]:
+    """The hashes of a text's words (between ASCII white space, A-Z lower-cased) and of its end, some million at a time."""
+    data, at, size = text.encode().lower(), 0, size or PIECE_BYTES
+    while True:
+        stop = at + size
+        while stop < len(data) and data[stop] not in _SPACE:
+            stop += 1
+        words = data[at:stop].split()
+        tokens = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+        at = stop
+        if at >= len(data):
+            yield np.append(tokens, END)
+            return
+        if len(tokens):
+            yield tokens
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,310 +86,401 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bigrams(tokens: np.ndarray) -> np.ndarray:
-    before = np.concatenate([[START], tokens[:-1]])
-    return _mixed(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
+def bigram_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+#: The least count of each level; level 0 is for 0.
+EDGES = np.ceil(BASE ** np.arange(LEVELS - 1) - 1e-9)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
     """The stored level of each count: 1 for 1, growing with the logarithm; 0 for 0."""
-    edges = np.ceil(BASE ** np.arange(LEVELS - 1) - 1e-9)
-    return np.searchsorted(edges, counts, side="right")
+    return np.searchsorted(EDGES, counts, side="right")
 
 
-def _packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    small = np.minimum(counts, 255).astype(np.uint8)
-    large = counts[small == 255].astype("<u8")
-    return b"".join([len(hashes).to_bytes(8, "little"), hashes.astype("<u8").tobytes(), small.tobytes(), large.tobytes()])
+#: Twice the count that each level stands for: the least and the greatest count of the level together.
+TWICE = np.concatenate([[0], EDGES[:-1] + EDGES[1:] - 1, [2 * EDGES[-1]]]).astype(np.int64)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    hashes, counts = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, np.uint8, n, 8 + 8 * n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, "<u8", -1, 8 + 9 * n)
-    return hashes, counts
+@dataclass
+class Deal:
+    """Which bucket holds a word or a bigram."""
 
+    bits: int
+    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    spread: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
-def _summed(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(hashes, return_counts=True)
+    def of_words(self, words: np.ndarray) -> np.ndarray:
+        return (words >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def is_hot(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(words), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)] == words
+
+    def of_bigrams(self, before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        out = self.of_words(before)
+        many = np.flatnonzero(self.is_hot(before))
+        if len(many):
+            spread = self.spread[np.searchsorted(self.hot, before[many])]
+            out[many] = (out[many] + (hashes[many] >> np.uint64(32)).astype(np.int64) % spread) % (1 << self.bits)
+        return out
+
+
+def _small(counts: np.ndarray) -> bytes:
+    few = np.minimum(counts, 255).astype(np.uint8)
+    return few.tobytes() + counts[few == 255].astype("<u8").tobytes()
+
+
+def _unsmall(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    counts = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
+    large = int((counts == 255).sum())
+    counts[counts == 255] = np.frombuffer(data, "<u8", large, at + n)
+    return counts, at + n + 8 * large
+
+
+def _packed(words: np.ndarray, counts: np.ndarray, before: np.ndarray, after: np.ndarray, times: np.ndarray) -> bytes:
+    """Word counts and bigram counts of one bucket; ``before`` is sorted and stored once for each run."""
+    first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.empty(0, np.int64)
+    runs = np.diff(np.append(first, len(before)))
+    head = np.array([len(words), len(first), len(before)], "<u8").tobytes()
+    return b"".join([head, words.astype("<u8").tobytes(), _small(counts), before[first].astype("<u8").tobytes(), runs.astype("<u4").tobytes(), after.astype("<u8").tobytes(), _small(times)])
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    n_words, n_first, n = (int(x) for x in np.frombuffer(data, "<u8", 3))
+    at = 24
+    words = np.frombuffer(data[at : at + 8 * n_words], "<u8")
+    counts, at = _unsmall(data, n_words, at + 8 * n_words)
+    first, runs = np.frombuffer(data[at : at + 8 * n_first], "<u8"), np.frombuffer(data[at + 8 * n_first : at + 12 * n_first], "<u4")
+    at += 12 * n_first
+    after = np.frombuffer(data[at : at + 8 * n], "<u8")
+    times, _ = _unsmall(data, n, at + 8 * n)
+    return words, counts, np.repeat(first, runs), after, times
+
+
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, their summed counts, and where each first stood."""
     order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
+    hashes = hashes[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+    return hashes[first], np.add.reduceat(counts[order], first) if len(first) else counts, order[first]
+
 
+def _local(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the tokens and those before them, and each token's and each one before's place among them."""
+    kinds, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
+    return kinds, back[: len(tokens)], back[len(tokens) :]
 
-def _counted(bits: int):
-    """N-gram counts of a task's documents, by kind and bucket."""
+
+def _before(parts: list[np.ndarray], opens: list[np.uint64]) -> np.ndarray:
+    return np.concatenate([x for first, part in zip(opens, parts, strict=True) for x in ([first], part[:-1])])
+
+
+def _counted(deal: Deal):
+    """N-gram counts of a task's documents, by bucket."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+        parts: list[np.ndarray] = []
+        opens: list[np.uint64] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                hashes, counts = _summed(np.concatenate(held[kind]))
-                cuts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                kept = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
-                for k in range(0, len(kept), 4096):
-                    part = kept[k : k + 4096]
-                    data = [_packed(hashes[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in part]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "data"])
-                held[kind] = []
+            kinds, at, at_before = _local(np.concatenate(parts), _before(parts, opens))
+            counts = np.bincount(at, minlength=len(kinds))
+            pairs, times = np.unique(at_before.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64), return_counts=True)
+            before, after = kinds[pairs >> np.uint64(32)], kinds[pairs & np.uint64(0xFFFFFFFF)]
+            where = deal.of_bigrams(before, bigram_hash(before, after))
+            order = np.argsort(where, kind="stable")
+            before, after, times = before[order], after[order], times[order]
+            edges = np.arange((1 << deal.bits) + 1)
+            pair_cuts = np.searchsorted(where[order], edges)
+            seen = counts > 0  # a start is no word
+            words, counts = kinds[seen], counts[seen]
+            word_cuts = np.searchsorted(deal.of_words(words), edges)
+            filled = np.flatnonzero((pair_cuts[1:] > pair_cuts[:-1]) | (word_cuts[1:] > word_cuts[:-1])).tolist()
+            for k in range(0, len(filled), 256):
+                own = filled[k : k + 256]
+                data = []
+                for b in own:
+                    w, p = slice(word_cuts[b], word_cuts[b + 1]), slice(pair_cuts[b], pair_cuts[b + 1])
+                    data.append(_packed(words[w], counts[w], before[p], after[p], times[p]))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
         for batch in batches:
             for text in batch.column("text"):
-                tokens = _tokens(text.as_py())
-                held[0].append(tokens)
-                held[1].append(_bigrams(tokens))
-                size += len(tokens)
-                if size >= CHUNK:
-                    yield from flush()
-                    size = 0
+                last = START
+                for tokens in pieces(text.as_py()):
+                    parts.append(tokens)
+                    opens.append(last)
+                    last = tokens[-1]
+                    size += len(tokens)
+                    if size >= CHUNK:
+                        yield from flush()
+                        parts, opens, size = [], [], 0
         if size:
             yield from flush()
 
     return rows
 
 
-def _filter(hashes: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
-    entries = int(levels.sum())
-    m = max(64, (entries * BITS_PER_ENTRY + 7) // 8 * 8)
-    bits = np.zeros(m // 8, np.uint8)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _places(hashes[levels >= level], level, np.uint64(m)):
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-    return m, bits.tobytes()
-
-
-def _places(hashes: np.ndarray, level: int, m: np.ndarray) -> Iterator[np.ndarray]:
+def _places(hashes: np.ndarray, level: int, m: np.ndarray, probes: int) -> Iterator[np.ndarray]:
     a = _mixed(hashes + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
     b = _mixed(a) | np.uint64(1)
-    for k in range(PROBES):
-        yield (a + np.uint64(k) * b) % m
-
-
-def _bucket(table: pa.Table) -> pa.Table:
-    """One bucket's exact counts (words only), filter, and sums by level."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    parts = [_unpacked(d.as_py()) for d in table.column("data")]
-    hashes, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    exact = _packed(hashes, counts) if kind == 0 else None
-    types, total, once, twice = len(hashes), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum())
-    levels = level_of(counts)
-    m, bits = _filter(hashes, levels)
-    by_level = [np.bincount(levels, w, LEVELS).astype(np.int64).tolist() for w in (None, counts)]
-    return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "m": pa.array([m], pa.int64()), "bits": pa.array([bits], pa.binary()), "exact": pa.array([exact], pa.binary()), "types": pa.array([types], pa.int64()), "total": pa.array([total], pa.int64()), "once": pa.array([once], pa.int64()), "twice": pa.array([twice], pa.int64()), "at_level": pa.array([by_level[0]], pa.list_(pa.int64())), "sum_level": pa.array([by_level[1]], pa.list_(pa.int64()))})
-
-
-_BUCKET = "kind int, bucket int, m long, bits binary, exact binary, types long, total long, once long, twice long, at_level array<long>, sum_level array<long>"
-
-
-class Pass:
-    """The filters and exact word counts of some buckets."""
-
-    def __init__(self, rows: Iterable, n_bits: int):
-        self.n_bits = n_bits
-        m, start = (np.zeros((2, 1 << n_bits), np.int64) for _ in range(2))
-        bits: list[list[np.ndarray]] = [[], []]
-        ends = [0, 0]
-        words: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for r in rows:  # one partition of buckets at a time is on its way
-            kind = r["kind"]
-            m[kind, r["bucket"]], start[kind, r["bucket"]] = r["m"], ends[kind]
-            ends[kind] += len(r["bits"])
-            bits[kind].append(np.frombuffer(r["bits"], np.uint8))
-            if kind == 0:
-                hashes, counts = _unpacked(r["exact"])
-                words.append((r["bucket"], hashes, counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts))
-        words.sort(key=lambda w: w[0])
-        joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        self.words = joined([w[1] for w in words], np.uint64)
-        self.counts = joined([w[2] for w in words], np.uint32)
-        words.clear()
-        self.filters = []
-        for kind in (0, 1):
-            self.filters.append((m[kind], start[kind], joined(bits[kind], np.uint8)))
-            bits[kind].clear()
-
-    def levels(self, kind: int, hashes: np.ndarray) -> np.ndarray:
-        """For each hash the last level that is found, 0 if none, or if its bucket isn't in this pass."""
-        m, start, bits = self.filters[kind]
-        bucket = (hashes >> np.uint64(64 - self.n_bits)).astype(np.int64)
-        out, left = np.zeros(len(hashes), np.uint8), np.flatnonzero(m[bucket])
+    for _ in range(probes):
+        yield (a >> np.uint64(32)) * m >> np.uint64(32)
+        a = a + b
+
+
+def _filter(hashes: np.ndarray, levels: np.ndarray, probes: tuple[int, int]) -> tuple[int, bytes]:
+    """Bits, half of them set, in which each hash is found at every level up to its own."""
+    above = int(levels.sum()) - len(levels)
+    m = max(64, int((len(levels) * probes[0] + above * probes[1]) / np.log(2) / 8 + 1) * 8)
+    bits = np.zeros(m, bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        for at in _places(hashes[levels >= level], level, np.uint64(m), probes[level > 1]):
+            bits[at] = True
+    return m, np.packbits(bits, bitorder="little").tobytes()
+
+
+def _bucket(deal: Deal, fixed: tuple[int, int] | None):
+    """One bucket: its words with exact counts and sums, its bigrams' filter, and its share of frequent words' sums."""
+
+    def made(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(d.as_py()) for d in table.column("data")]
+        words, counts, _ = _summed(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+        before, after, times = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        parts.clear()
+        hashes, times, at = _summed(bigram_hash(before, after), times)
+        before = before[at]
+        levels = level_of(times)
+        kinds, back = np.unique(before, return_inverse=True)
+        of, sums = np.bincount(back, minlength=len(kinds)), np.bincount(back, TWICE[levels], len(kinds)).astype(np.int64)
+        hot = deal.is_hot(kinds)
+        names = np.union1d(words, kinds[~hot])
+        columns = [np.zeros(len(names), np.int64) for _ in range(3)]
+        columns[0][np.searchsorted(names, words)] = counts
+        for column, values in zip(columns[1:], (of, sums), strict=True):
+            column[np.searchsorted(names, kinds[~hot])] = values[~hot]
+        # a bucket has an even share of the vocabulary, since words are dealt by their hashes
+        probes = fixed or (max(8, (len(words) << deal.bits).bit_length() + MORE_PROBES), LEVEL_PROBES)
+        m, bits = _filter(hashes, levels, probes)
+        stats = [len(words), int(counts.sum()), *(int((x == k).sum()) for x in (counts, times) for k in (1, 2))]
+        packed = b"".join([names.astype("<u8").tobytes(), *(_small(c) for c in columns)])
+        shares = [{"word": w, "followers": f, "sum": s} for w, f, s in zip(kinds[hot].view(np.int64).tolist(), of[hot].tolist(), sums[hot].tolist(), strict=True)]
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "m": pa.array([m], pa.int64()), "probes": pa.array([probes], pa.list_(pa.int32())), "bits": pa.array([bits], pa.binary()), "n": pa.array([len(names)], pa.int64()), "words": pa.array([packed], pa.binary()), "stats": pa.array([stats], pa.list_(pa.int64())), "shares": pa.array([shares], pa.list_(pa.struct([("word", pa.int64()), ("followers", pa.int64()), ("sum", pa.int64())])))})
+
+    return made
+
+
+_BUCKET = "bucket int, m long, probes array<int>, bits binary, n long, words binary, stats array<long>, shares array<struct<word: long, followers: long, sum: long>>"
+
+
+class Segment:
+    """The word tables and filters of the buckets from ``low`` to before ``high``."""
+
+    def __init__(self, rows: Iterable, deal: Deal, low: int, high: int):
+        self.deal, self.low, self.high = deal, low, high
+        self.m, self.start, self.probes = np.zeros(high - low, np.uint64), np.zeros(high - low, np.int64), np.zeros((2, high - low), np.int64)
+        bits, names, columns, end = [], [], [], 0
+        for r in rows:  # in the order of buckets, so names ascend
+            k = r["bucket"] - low
+            self.m[k], self.start[k], self.probes[:, k] = r["m"], end, r["probes"]
+            end += len(r["bits"])
+            bits.append(np.frombuffer(r["bits"], np.uint8))
+            n, data = r["n"], bytes(r["words"])
+            names.append(np.frombuffer(data[: 8 * n], "<u8"))
+            at, own = 8 * n, []
+            for _ in range(3):
+                values, at = _unsmall(data, n, at)
+                own.append(values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values)
+            columns.append(own)
+        joined = lambda found, kind: np.concatenate(found) if found else np.empty(0, kind)
+        self.bits, self.names = joined(bits, np.uint8), joined(names, np.uint64)
+        self.columns = [joined([c[k] for c in columns], np.uint32) for k in range(3)]
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes stand that this segment's table holds, and their columns: count, bigrams begun, twice the sum of their
+        stored counts, and their bucket's probes."""
+        if not len(self.names):
+            return np.empty(0, np.int64), np.empty((4, 0), np.int64)
+        at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
+        found = np.flatnonzero(self.names[at] == hashes)
+        return found, np.array([*(c[at[found]] for c in self.columns), self.probes[0, self.deal.of_words(hashes[found]) - self.low]], np.int64)
+
+    def levels(self, buckets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """For each bigram of these buckets the last level that is found; 0 if none is."""
+        own = buckets - self.low
+        out, left = np.zeros(len(hashes), np.uint8), np.flatnonzero(self.m[own])
         for level in range(1, LEVELS):
-            own, sizes, starts = hashes[left], m[bucket[left]].astype(np.uint64), start[bucket[left]]
-            keep = np.arange(len(left))
-            for k in range(PROBES):  # those missing a probe drop out at once
-                a = _mixed(own[keep] + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-                at = (a + np.uint64(k) * (_mixed(a) | np.uint64(1))) % sizes[keep]
-                keep = keep[bits[starts[keep] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
-                if not len(keep):
-                    break
-            left = left[keep]
             if not len(left):
                 break
+            needed = self.probes[int(level > 1), own[left]]
+            m, start = self.m[own[left]], self.start[own[left]]
+            a = _mixed(hashes[left] + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+            b = _mixed(a) | np.uint64(1)
+            for k in range(int(needed.max())):  # as in _places; those missing a probe drop out
+                at = ((a >> np.uint64(32)) * m >> np.uint64(32)).astype(np.int64)
+                here = (self.bits[start + (at >> 3)] >> (at & 7).astype(np.uint8) & 1 == 1) | (needed <= k)
+                a = a + b
+                if not here.all():
+                    left, needed, m, start, a, b = (x[here] for x in (left, needed, m, start, a, b))
+                    if not len(left):
+                        break
             out[left] = level
         return out
 
-    def exact(self, hashes: np.ndarray) -> np.ndarray:
-        """Training counts of words, 0 for unknown ones."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.counts[at], 0).astype(np.int64)
 
+@dataclass
+class Model:
+    """Totals of the training documents, and what they make of counts and levels."""
 
-def _probed(sent: Broadcast):
-    """Adds a pass to the documents' levels and sums."""
+    n: int = 0
+    v: int = 0
+    discounts: tuple[float, float] = (0.5, 0.5)
+    deal: Deal = field(default_factory=lambda: Deal(4))
+    sums: dict[int, tuple[int, int]] = field(default_factory=dict)  # of frequent words
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool: Pass = sent.value
-        for batch in batches:
-            n = batch.num_rows
-            texts, old = batch.column("text"), [batch.column(c).to_pylist() for c in ("known", "logs", "words", "pairs")]
-            out: list[tuple[int, float, bytes, bytes]] = []
-            k = 0
-            while k < n:  # some hundred thousand tokens at a time
-                tokens, first = [], k
-                size = 0
-                while k < n and size < 400_000:
-                    tokens.append(_tokens(texts[k].as_py()))
-                    size += len(tokens[-1])
-                    k += 1
-                ends = np.cumsum([len(t) for t in tokens])
-                flat, pairs = np.concatenate(tokens), np.concatenate([_bigrams(t) for t in tokens])
-                kinds, back = np.unique(flat, return_inverse=True)
-                counts, levels = tool.exact(kinds), tool.levels(0, kinds)
-                logs = np.log10(counts + 1.0)
-                kinds, back_pairs = np.unique(pairs, return_inverse=True)
-                pair_levels = tool.levels(1, kinds)[back_pairs]
-                known, logs, levels = (counts > 0)[back], logs[back], levels[back]
-                for d, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True), first):
-                    mine = [int(known[low:high].sum()), float(logs[low:high].sum()), levels[low:high], pair_levels[low:high]]
-                    if old[2][d]:
-                        mine = [mine[0] + old[0][d], mine[1] + old[1][d], np.maximum(mine[2], np.frombuffer(old[2][d], np.uint8)), np.maximum(mine[3], np.frombuffer(old[3][d], np.uint8))]
-                    out.append((mine[0], mine[1], mine[2].tobytes(), mine[3].tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), texts, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "held_out", "text", "known", "logs", "words", "pairs"])
+    def single(self, counts: np.ndarray) -> np.ndarray:
+        """P(w) of words with these counts, 0 for unknown ones."""
+        d = self.discounts[0]
+        return np.maximum(counts - d, 0) / self.n + d * self.v / self.n / (self.v + 1)
 
-    return rows
+    def after(self, single: np.ndarray, levels: np.ndarray, followers: np.ndarray, sums: np.ndarray, probes: np.ndarray) -> np.ndarray:
+        """P(w | v) from P(w), the bigram's level, the bigrams that v begins: how many, and twice their stored counts, and the probes of
+        v's bucket at the first level."""
+        d = self.discounts[1]
+        whole = sums / 2 + 0.5**probes * np.maximum(self.v + 1 - followers, 0) * (1 - d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = (np.maximum(TWICE[levels] / 2 - d, 0) + d * followers * single) / whole
+        return np.where(followers > 0, out, single)
 
 
-class Model:
-    """What the levels mean: mean counts by level, totals, and the mixture weights by the level of the word before."""
-
-    def __init__(self, rows: list):
-        words, pairs = ([r for r in rows if r["kind"] == k] for k in (0, 1))
-        self.n, self.v = sum(r["total"] for r in words), sum(r["types"] for r in words)
-        once, twice = sum(r["once"] for r in words), sum(r["twice"] for r in words)
-        self.discount = once / (once + 2 * twice) if once else 0.5
-        self.means = []
-        for own in (words, pairs):
-            at, of = (np.sum([r[c] for r in own], axis=0) if own else np.zeros(LEVELS) for c in ("at_level", "sum_level"))
-            middle = BASE ** np.maximum(np.arange(LEVELS) - 0.5, 0)
-            self.means.append(np.where(at > 0, of / np.maximum(at, 1), middle) * (np.arange(LEVELS) > 0))
-        self.weights = np.zeros(LEVELS)
-
-    def parts(self, words: np.ndarray, pairs: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: level of the word before, P(w), and count(v w) / count(v); ``left_out`` takes the token itself away."""
-        before = np.concatenate([words[-1:], words[:-1]])  # before the first word: as often as there are ends
-        count, both, context = self.means[0][words], self.means[1][pairs], self.means[0][before]
-        if left_out:
-            count, both, context = np.maximum(count - 1, 0), np.maximum(both - 1, 0), np.maximum(context - 1, 0)
-        single = np.maximum(count - self.discount, 0) / self.n + self.discount * self.v / self.n / (self.v + 1)
-        return before, single, np.where(context > 0, np.minimum(1.0, both / np.maximum(context, 1)), 0.0)
-
-    def estimate(self, seen: np.ndarray) -> None:
-        """Weights by expectation-maximisation from ``seen[level, bin]``; bin 0 counts tokens whose bigram is unknown."""
-        ratio = 10 ** (_LOW + _STEP * (np.arange(1, _BINS + 1) - 0.5))
-        for level in range(LEVELS):
-            total, weight = seen[level].sum(), 0.3
-            for _ in range(60 if total else 0):
-                weight = float((seen[level, 1:] * (weight * ratio / (weight * ratio + 1 - weight))).sum() / total)
-                weight = min(max(weight, 1e-9), 0.999)
-            self.weights[level] = weight if total else 0.0
-
-    def score(self, words: np.ndarray, pairs: np.ndarray) -> float:
-        before, single, double = self.parts(words, pairs, False)
-        w = self.weights[before]
-        return float(np.log10(w * double + (1 - w) * single).sum())
-
-
-def _ratios(sent: Broadcast):
+def _scored(sent: Broadcast, segments: list[Broadcast]):
+    """Scores of documents; every batch of about ``BATCH`` tokens meets one segment after the other."""
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
-        seen = np.zeros((LEVELS, _BINS + 1), np.int64)
-        for batch in batches:
-            for words, pairs in zip(batch.column("words").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
-                before, single, double = model.parts(np.frombuffer(words, np.uint8), np.frombuffer(pairs, np.uint8), True)
-                bins = np.zeros(len(before), np.int64)
-                found = double > 0
-                bins[found] = np.clip((np.log10(double[found] / single[found]) - _LOW) / _STEP, 0, _BINS - 1).astype(np.int64) + 1
-                np.add.at(seen, (before, bins), 1)
-        levels, bins = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(levels.astype(np.int32)), pa.array(bins.astype(np.int32)), pa.array(seen[levels, bins])], ["level", "bin", "n"])
-
-    return rows
 
+        def segment(k: int) -> Segment:
+            for other in range(len(segments)):
+                if other != k:  # one segment in memory
+                    segments[other].__dict__.pop("_value", None)
+            return segments[k].value
+
+        turn = [range(len(segments)), range(len(segments) - 1, -1, -1)]
+
+        def totals(parts: list[np.ndarray], opens: list[np.uint64]) -> list[np.ndarray]:
+            """For each part: tokens, known tokens, and the sums of both logarithms."""
+            kinds, at, at_before = _local(np.concatenate(parts), _before(parts, opens))
+            pairs, back = np.unique(at_before.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64), return_inverse=True)
+            word, first = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), (pairs >> np.uint64(32)).astype(np.int64)
+            hashes = bigram_hash(kinds[first], kinds[word])
+            buckets, own = model.deal.of_bigrams(kinds[first], hashes), np.zeros((4, len(kinds)), np.int64)
+            levels, order = np.zeros(len(pairs), np.uint8), np.argsort(buckets, kind="stable")
+            for k in turn[0]:
+                s = segment(k)
+                found, columns = s.words(kinds)
+                own[:, found] = columns
+                mine = order[slice(*np.searchsorted(buckets, (s.low, s.high), sorter=order))]
+                levels[mine] = s.levels(buckets[mine], hashes[mine])
+            turn.reverse()
+            for k in np.flatnonzero(model.deal.is_hot(kinds)):
+                own[1:3, k] = model.sums.get(int(kinds[k]), (0, 0))
+            counts = own[0]
+            p = model.after(model.single(counts)[word], levels, *own[1:, first]) if model.n else np.ones(len(pairs))
+            base = np.log10((counts + 1.0) / (model.n + model.v + 1))
+            ends = np.cumsum([len(x) for x in parts])[:-1]
+            starts = np.concatenate([[0], ends]).astype(np.int64)
+            return [np.array([len(x) for x in parts]), *(np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64)[at], base[at], np.log10(p)[back]))]
 
-def _scored(sent: Broadcast):
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = sent.value
         for batch in batches:
-            words, pairs = batch.column("words").to_pylist(), batch.column("pairs").to_pylist()
-            n = [len(w) for w in words]
-            base = [logs - count * float(np.log10(model.n + model.v + 1)) for logs, count in zip(batch.column("logs").to_pylist(), n, strict=True)]
-            score = [model.score(np.frombuffer(w, np.uint8), np.frombuffer(p, np.uint8)) for w, p in zip(words, pairs, strict=True)] if model.n else base
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), batch.column("known"), pa.array([model.n] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            out = [np.zeros(batch.num_rows, kind) for kind in (np.int64, np.int64, float, float)]
+            parts, opens, whose, size = [], [], [], 0
+
+            def add() -> None:
+                for total, values in zip(out, totals(parts, opens), strict=True):  # noqa: B023
+                    np.add.at(total, whose, values)  # noqa: B023
+
+            for k, text in enumerate(batch.column("text")):
+                last = START
+                for tokens in pieces(text.as_py()):
+                    parts.append(tokens)
+                    opens.append(last)
+                    whose.append(k)
+                    last = tokens[-1]
+                    size += len(tokens)
+                    if size >= BATCH:
+                        add()
+                        parts, opens, whose, size = [], [], [], 0
+            if size:
+                add()
+            known = pa.array(np.full(batch.num_rows, model.n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out[0]), pa.array(out[1]), known, pa.array(out[2]), pa.array(out[3])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows
 
 
-def _passes(buckets: DataFrame, sizes: list, pass_bytes: int) -> Iterator[Iterator]:
-    """The buckets' rows in order, as many at a time as fit; the driver holds one pass."""
-    group, held = [], 0
-    for r in [*sorted(sizes, key=lambda r: r["bucket"]), None]:
-        if r is None or (group and held + r["size"] > pass_bytes):
-            low, high = group[0], group[-1]
-            yield buckets.where(F.col("bucket").between(low, high)).select("kind", "bucket", "m", "bits", "exact").toLocalIterator()
-            group, held = [], 0
-        if r is not None:
-            group.append(r["bucket"])
-            held += r["size"]
-
+def _frequent(texts: DataFrame, volume: int, bits: int) -> Deal:
+    """Words that begin more than a quarter bucket of the bigrams in a sample, and over how many buckets theirs are spread."""
 
-def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                for tokens in pieces(text.as_py()):
+                    kinds, n = np.unique(tokens, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    each = max(1, volume // SAMPLE_BYTES)
+    found = checkpoint(texts.where(F.pmod(F.xxhash64("text"), F.lit(each)) == 0).mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    parts = 4 << bits
+    many = found.where((F.col("n") * parts >= total) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(MOST_HOT).collect()
+    if not many:
+        return Deal(bits)
+    hot, n = np.array([r["word"] for r in many], np.int64).view(np.uint64), np.array([r["n"] for r in many])
+    order = np.argsort(hot)
+    return Deal(bits, hot[order], np.minimum(np.ceil(n[order] / total * parts).astype(np.int64), 1 << bits))
+
+
+def train(texts: DataFrame, volume: int, probes: tuple[int, int] | None = None, bucket_bytes: int = BUCKET_BYTES, segment_bytes: int = SEGMENT_BYTES) -> tuple[Model, Iterator[Segment]]:
+    """The model of the training texts ``texts(text)`` of about ``volume`` bytes, and its segments, one at a time."""
+    bits = max(4, int(np.ceil(np.log2(max(1, volume / bucket_bytes)))))
+    deal = _frequent(texts, volume, bits)
+    counted = texts.mapInArrow(_counted(deal), "bucket int, data binary")
+    buckets = checkpoint(counted.groupBy("bucket").applyInArrow(_bucket(deal, probes), _BUCKET))
+    stats = buckets.select(*(F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(6)), F.sum(F.octet_length("bits") + F.octet_length("words")).alias("size")).first()
+    v, n, *times = (stats[k] or 0 for k in range(6))
+    discount = lambda once, twice: once / (once + 2 * twice + 1) if once else 0.5
+    shares = buckets.select(F.explode("shares").alias("s")).groupBy("s.word").agg(F.sum("s.followers").alias("f"), F.sum("s.sum").alias("q")).collect()  # at most MOST_HOT rows
+    sums = {int(np.int64(r["word"]).view(np.uint64)): (r["f"], r["q"]) for r in shares}
+    model = Model(n, v, (discount(*times[:2]), discount(*times[2:])), deal, sums)
+    each = max(1, int(segment_bytes * (1 << bits) / max(1, stats["size"] or 0)))
+    own = buckets.select("bucket", "m", "probes", "bits", "n", "words")
+
+    def segments() -> Iterator[Segment]:
+        for low in range(0, 1 << bits, each):
+            high = min(1 << bits, low + each)
+            yield Segment(own.where(F.col("bucket").between(low, high - 1)).repartitionByRange(high - low, "bucket").sortWithinPartitions("bucket").toLocalIterator(), deal, low, high)
+
+    return model, segments()
+
+
+def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", probes: tuple[int, int] | None = None, bucket_bytes: int = BUCKET_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Base and model scores of every whole text, trained on the documents where ``held_out`` (a column) is false.
 
     Columns: ``doc_id``, ``held_out``, ``n_tokens`` (words and one end), ``n_known`` (of them, seen in training),
-    ``train_tokens``, ``base_score`` (log10, add-one word model) and ``score`` (log10, this model). A null
+    ``train_tokens``, ``base_score`` (log10, add-one word model) and ``score`` (log10 of the model's probability). A null
     ``held_out`` counts as false. Null and empty texts are an end alone. Repeated rows count and are scored as
     often as they occur; an empty table gives no rows; without training documents both scores are zero logs.
-    Counts are kept by 64-bit word hash.
+    Counts are kept by 64-bit word hash. ``probes`` (first level, further levels) is otherwise set by the vocabulary.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_bits = min(max(4, int(np.ceil(np.log2(max(1, volume / BUCKET_BYTES))))), MOST_BUCKETS.bit_length() - 1)
-    counted = rows.where(~F.col("held_out")).select("text").mapInArrow(_counted(n_bits), "kind int, bucket int, data binary")
-    buckets = checkpoint(counted.groupBy("kind", "bucket").applyInArrow(_bucket, _BUCKET))
-    model = Model(buckets.select("kind", "types", "total", "once", "twice", "at_level", "sum_level").groupBy("kind").agg(
-        *(F.sum(c).alias(c) for c in ("types", "total", "once", "twice")),
-        *(F.array(*(F.sum(F.get(F.col(c), F.lit(k))) for k in range(LEVELS))).alias(c) for c in ("at_level", "sum_level")),
-    ).collect())
-    sizes = buckets.groupBy("bucket").agg(F.sum(F.octet_length("bits") + F.coalesce(F.octet_length("exact"), F.lit(0))).alias("size")).collect()  # at most MOST_BUCKETS rows
-    state = rows.select("doc_id", "held_out", "text", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("logs"), F.lit(b"").alias("words"), F.lit(b"").alias("pairs"))
-    shape = f"doc_id {kind}, held_out boolean, text string, known long, logs double, words binary, pairs binary"
-    passes = _passes(buckets, sizes, pass_bytes) if sizes else iter([[]])
-    tables = next(passes)
-    while tables is not None:
-        state = state.mapInArrow(_probed(spark.sparkContext.broadcast(Pass(tables, n_bits))), shape)
-        tables = next(passes, None)
-        state = checkpoint(state.drop("text") if tables is None else state)
-    seen = np.zeros((LEVELS, _BINS + 1))
-    for r in state.where(~F.col("held_out")).mapInArrow(_ratios(spark.sparkContext.broadcast(model)), "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect():
-        seen[r["level"], r["bin"]] = r["n"]
-    model.estimate(seen)
-    return state.mapInArrow(_scored(spark.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = rows.where(~F.col("held_out")).select("text")
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model, segments = train(texts, volume, probes, bucket_bytes, segment_bytes)
+    sent = [context.broadcast(s) for s in segments]
+    return rows.mapInArrow(_scored(context.broadcast(model), sent), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -151,23 +151,110 @@ def test_encoders_equal_the_library(path, kind, documents):
 
 
 # 3 language model
-def test_scores(spark, documents, odd):
-    for frame in (documents, odd.select("doc_id", "text")):
-        held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-        rows = [(r.doc_id, r.text or "") for r in frame.collect()]
-        tokens = lambda t: re.findall(rb"[^\x20\x09-\x0d]+", t.encode().lower()) + [b"\n"]
-        out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-        counts = Counter(w for i, t in rows if not out(i) for w in tokens(t))
-        n, v = sum(counts.values()), len(counts)
-        expected = sorted((str(i), out(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 4)) for i, t in rows)
-        one = lm_bloom.score_documents(frame, held_out).collect()
-        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in one) == expected
-        many = lm_bloom.score_documents(frame, held_out, pass_bytes=20_000).collect()
-        assert sorted((str(r.doc_id), round(r.score, 6)) for r in one) == sorted((str(r.doc_id), round(r.score, 6)) for r in many)
-    held = [r for r in lm_bloom.score_documents(documents, held_out).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert lm_bloom.score_documents(odd.limit(0), held_out).count() == 0
+def _words(text):
+    return re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower()) + [b"\n"]
+
+
+def _middle(count):
+    """The stored count of a bigram seen ``count`` times: the middle of its range between powers of 1.5, rounded up."""
+    edges = [math.ceil(1.5**k - 1e-9) for k in range(63)]
+    level = max(k for k, e in enumerate(edges) if e <= count)
+    return (edges[level] + edges[level + 1] - 1) / 2
+
+
+def brute_scores(rows, false_share):
+    """``rows`` of id, text and whether held out, scored by a model kept in dictionaries."""
+    singles, pairs = Counter(), Counter()
+    for _, text, out in rows:
+        if not out:
+            singles.update(_words(text))
+            pairs.update(zip([None, *_words(text)], _words(text), strict=False))
+    n, v = sum(singles.values()), len(singles)
+    rate = lambda c: c[1] / (c[1] + 2 * c[2] + 1) if c[1] else 0.5
+    d1, d2 = (rate(Counter(c.values())) for c in (singles, pairs))
+    followers, sums = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        followers[a] += 1
+        sums[a] += _middle(c)
+
+    def p(a, b):
+        one = max(singles[b] - d1, 0) / n + d1 * v / n / (v + 1)
+        if a not in followers:
+            return one
+        whole = sums[a] + false_share * (v + 1 - followers[a]) * (1 - d2)
+        return ((max(_middle(pairs[a, b]) - d2, 0) if pairs[a, b] else 0) + d2 * followers[a] * one) / whole
+
+    out = []
+    for i, text, held in rows:
+        w = _words(text)
+        base = sum(math.log10((singles[x] + 1) / (n + v + 1)) for x in w)
+        out.append((str(i), held, len(w), sum(singles[x] > 0 for x in w), n, base, sum(math.log10(p(a, b)) for a, b in zip([None, *w], w, strict=False))))
+    return sorted(out)
+
+
+def _near(got, expected):
+    assert [r[:5] for r in got] == [r[:5] for r in expected]
+    for g, e in zip(got, expected, strict=True):
+        assert g[5] == pytest.approx(e[5], rel=1e-9) and g[6] == pytest.approx(e[6], rel=1e-9), g[0]
+
+
+def test_scores_equal_a_model_in_dictionaries(spark, documents, odd, monkeypatch):
+    hidden = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for frame in (small, odd):
+        rows = [(r.doc_id, r.text, zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 7 == 2) for r in frame.collect()]
+        expected = brute_scores(rows, 2.0**-40)
+        # many probes: the filter never affirms what it doesn't hold
+        for sizes in ({}, {"bucket_bytes": 5_000, "segment_bytes": 60_000}):
+            _near(sorted((str(r[0]), *r[1:]) for r in lm_bloom.score_documents(frame, hidden, probes=(40, 40), **sizes).collect()), expected)
+    usual = {(str(r.doc_id), r.n_tokens): r.score for r in lm_bloom.score_documents(small, hidden).collect()}
+    wrong = [i for i, _, n, *_, score in brute_scores([(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in small.collect()], 0) if abs(usual[i, n] - score) > 0.02 * abs(score)]
+    assert len(wrong) <= 0.02 * len(usual)
+    assert lm_bloom.score_documents(odd.limit(0), hidden).count() == 0
     assert {r.score for r in lm_bloom.score_documents(odd, F.lit(True)).collect()} == {0.0}
+    held = [r for r in lm_bloom.score_documents(documents, hidden).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_texts_in_pieces():
+    text = "  Ab c  defgh\n\t" + LONG + " "
+    whole = np.concatenate(list(lm_bloom.pieces(text)))
+    assert len(whole) == len(_words(text)) and whole[-1] == lm_bloom.END
+    for size in (1, 7, 1000):
+        assert np.array_equal(np.concatenate(list(lm_bloom.pieces(text, size))), whole)
+
+
+def test_probabilities_add_up_to_one(spark):
+    """Over the vocabulary and the unknown word, after frequent, rare and unknown words, with the filter's own errors."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text"))
+    model, segments = lm_bloom.train(texts, 400_000, bucket_bytes=20_000)
+    segments = list(segments)
+    names = np.unique(np.concatenate([s.names for s in segments]))
+    counts = np.zeros(len(names), np.int64)
+    rows = np.zeros((4, len(names)), np.int64)
+    for s in segments:
+        found, columns = s.words(names)
+        rows[:, found] = columns
+    counts = rows[0]
+    assert (counts > 0).sum() == model.v and counts.sum() == model.n and len(model.deal.hot)
+    words = names[counts > 0]
+    single = np.append(model.single(counts[counts > 0]), model.single(np.zeros(1)))
+    assert single.sum() == pytest.approx(1, abs=1e-9)
+    rng = np.random.default_rng(5)
+    sums = []
+    for k in [*rng.choice(len(names), 120, False), *np.searchsorted(names, model.deal.hot[:5]), int(np.searchsorted(names, lm_bloom.START))]:
+        v = np.full(len(words), names[k])
+        hashes = lm_bloom.bigram_hash(v, words)
+        buckets = model.deal.of_bigrams(v, hashes)
+        levels = np.zeros(len(words) + 1, np.uint8)
+        for s in segments:
+            mine = np.flatnonzero((buckets >= s.low) & (buckets < s.high))
+            levels[mine] = s.levels(buckets[mine], hashes[mine])
+        own = rows[:, k].copy()
+        own[1:3] = model.sums.get(int(names[k]), own[1:3])
+        sums.append(model.after(single, levels, *(np.full(len(single), x) for x in own[1:])).sum())
+    sums = np.array(sums)
+    assert np.median(np.abs(sums - 1)) < 0.02 and abs(sums.mean() - 1) < 0.02 and sums.max() < 1.6
 
 
 def test_bigrams_seen_once_count(spark):
@@ -179,14 +266,14 @@ def test_bigrams_seen_once_count(spark):
 
 def test_levels_survive_the_filter():
     rng = np.random.default_rng(3)
-    hashes, counts = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64)), None
-    counts = rng.geometric(0.1, len(hashes))
-    levels = lm_bloom.level_of(counts)
-    m, bits = lm_bloom._filter(hashes, levels)
-    table = lm_bloom.Pass([{"kind": 0, "bucket": b, "m": m, "bits": bits, "exact": lm_bloom._packed(hashes, counts)} for b in range(1)], 4)
-    inside = (hashes >> np.uint64(60)) == 0
-    assert (table.levels(0, hashes[inside]) >= levels[inside]).all() and (table.levels(0, hashes[inside]) == levels[inside]).mean() > 0.98
-    assert (table.exact(hashes) == counts).all() and not table.levels(0, hashes[~inside]).any()
+    hashes = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    levels = lm_bloom.level_of(rng.geometric(0.1, len(hashes)))
+    m, bits = lm_bloom._filter(hashes, levels, (16, 10))
+    deal = lm_bloom.Deal(4)
+    table = lm_bloom.Segment([{"bucket": 3, "m": m, "probes": [16, 10], "bits": bits, "n": 0, "words": b""}], deal, 3, 5)
+    at = np.full(len(hashes), 3)
+    found = table.levels(at, hashes)
+    assert (found >= levels).all() and (found == levels).mean() > 0.98 and (table.levels(at, hashes + np.uint64(1)) > 0).mean() < 0.01 and not table.levels(at + 1, hashes).any()
 
 
 # 4 neighbours
