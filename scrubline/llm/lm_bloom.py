@@ -42,9 +42,9 @@ from .common import checkpoint, text_of
 BASE, LEVELS = 1.5, 64
 #: Probes at the first level beyond the bits of the vocabulary's size, and at every further level.
 MORE_PROBES, LEVEL_PROBES = 4, 10
-SEGMENT_BYTES = 64 << 20
+SEGMENT_BYTES = 24 << 20
 #: N-grams held in memory before they are sorted and sent on, tokens scored at once, and words whose hashes are kept.
-CHUNK, BATCH, CACHE = 2_000_000, 1_000_000, 400_000
+CHUNK, BATCH, CACHE = 2_000_000, 500_000, 300_000
 #: Bytes of text per bucket, of a piece of a long text, and of the sample that finds frequent words; most frequent words.
 BUCKET_BYTES, PIECE_BYTES, SAMPLE_BYTES, MOST_HOT = 16 << 20, 4 << 20, 32 << 20, 1 << 16
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\t"))
@@ -168,14 +168,20 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts[order], first) if len(first) else counts, order[first]
 
 
-def _local(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of the tokens and those before them, and each token's and each one before's place among them."""
-    kinds, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-    return kinds, back[: len(tokens)], back[len(tokens) :]
+def _local(parts: list[np.ndarray], opens: list[np.uint64]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the tokens of ``parts`` and of the ``opens`` before them, and among these the places of each token and of
+    the one before it."""
+    n, starts = sum(map(len, parts)), np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+    kinds, back = np.unique(np.concatenate([*parts, np.array(opens, np.uint64)]), return_inverse=True)
+    at = back[:n].astype(np.uint32)
+    before = np.empty(n, np.uint32)
+    before[1:] = at[:-1]
+    before[starts] = back[n:]
+    return kinds, at, before
 
 
-def _before(parts: list[np.ndarray], opens: list[np.uint64]) -> np.ndarray:
-    return np.concatenate([x for first, part in zip(opens, parts, strict=True) for x in ([first], part[:-1])])
+def _pairs(at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return before.astype(np.uint64) << np.uint64(32) | at
 
 
 def _counted(deal: Deal):
@@ -187,9 +193,10 @@ def _counted(deal: Deal):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            kinds, at, at_before = _local(np.concatenate(parts), _before(parts, opens))
+            kinds, at, at_before = _local(parts, opens)
+            parts.clear()
             counts = np.bincount(at, minlength=len(kinds))
-            pairs, times = np.unique(at_before.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64), return_counts=True)
+            pairs, times = np.unique(_pairs(at, at_before), return_counts=True)
             before, after = kinds[pairs >> np.uint64(32)], kinds[pairs & np.uint64(0xFFFFFFFF)]
             where = deal.of_bigrams(before, bigram_hash(before, after))
             order = np.argsort(where, kind="stable")
@@ -278,17 +285,17 @@ _BUCKET = "bucket int, m long, probes array<int>, bits binary, n long, words bin
 
 
 class Segment:
-    """The word tables and filters of the buckets from ``low`` to before ``high``."""
-
-    def __init__(self, rows: Iterable, deal: Deal, low: int, high: int):
-        self.deal, self.low, self.high = deal, low, high
-        self.m, self.start, self.probes = np.zeros(high - low, np.uint64), np.zeros(high - low, np.int64), np.zeros((2, high - low), np.int64)
-        bits, names, columns, end = [], [], [], 0
-        for r in rows:  # in the order of buckets, so names ascend
-            k = r["bucket"] - low
-            self.m[k], self.start[k], self.probes[:, k] = r["m"], end, r["probes"]
-            end += len(r["bits"])
-            bits.append(np.frombuffer(r["bits"], np.uint8))
+    """The word tables and filters of some buckets."""
+
+    def __init__(self, rows: list[dict], deal: Deal):
+        rows = sorted(rows, key=lambda r: r["bucket"])  # so names ascend
+        self.deal, self.buckets = deal, np.array([r["bucket"] for r in rows], np.int64)
+        self.m, self.probes = np.array([r["m"] for r in rows], np.uint64), np.array([r["probes"] for r in rows], np.int64).reshape(-1, 2).T
+        sizes = np.array([len(r["bits"]) for r in rows], np.int64)
+        self.start = np.cumsum(sizes) - sizes
+        self.bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8)
+        names, columns = [], []
+        for r in rows:
             n, data = r["n"], bytes(r["words"])
             names.append(np.frombuffer(data[: 8 * n], "<u8"))
             at, own = 8 * n, []
@@ -296,9 +303,8 @@ class Segment:
                 values, at = _unsmall(data, n, at)
                 own.append(values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values)
             columns.append(own)
-        joined = lambda found, kind: np.concatenate(found) if found else np.empty(0, kind)
-        self.bits, self.names = joined(bits, np.uint8), joined(names, np.uint64)
-        self.columns = [joined([c[k] for c in columns], np.uint32) for k in range(3)]
+        self.names = np.concatenate(names)
+        self.columns = [np.concatenate([c[k] for c in columns]) for k in range(3)]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where hashes stand that this segment's table holds, and their columns: count, bigrams begun, twice the sum of their
@@ -307,12 +313,12 @@ class Segment:
             return np.empty(0, np.int64), np.empty((4, 0), np.int64)
         at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
         found = np.flatnonzero(self.names[at] == hashes)
-        return found, np.array([*(c[at[found]] for c in self.columns), self.probes[0, self.deal.of_words(hashes[found]) - self.low]], np.int64)
+        return found, np.array([*(c[at[found]] for c in self.columns), self.probes[0, np.searchsorted(self.buckets, self.deal.of_words(hashes[found]))]], np.int64)
 
     def levels(self, buckets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """For each bigram of these buckets the last level that is found; 0 if none is."""
-        own = buckets - self.low
-        out, left = np.zeros(len(hashes), np.uint8), np.flatnonzero(self.m[own])
+        own = np.minimum(np.searchsorted(self.buckets, buckets), len(self.buckets) - 1)
+        out, left = np.zeros(len(hashes), np.uint8), np.flatnonzero(self.buckets[own] == buckets)
         for level in range(1, LEVELS):
             if not len(left):
                 break
@@ -340,6 +346,7 @@ class Model:
     v: int = 0
     discounts: tuple[float, float] = (0.5, 0.5)
     deal: Deal = field(default_factory=lambda: Deal(4))
+    homes: np.ndarray = field(default_factory=lambda: np.zeros(16, np.int32))  # the segment of each bucket
     sums: dict[int, tuple[int, int]] = field(default_factory=dict)  # of frequent words
 
     def single(self, counts: np.ndarray) -> np.ndarray:
@@ -373,17 +380,18 @@ def _scored(sent: Broadcast, segments: list[Broadcast]):
 
         def totals(parts: list[np.ndarray], opens: list[np.uint64]) -> list[np.ndarray]:
             """For each part: tokens, known tokens, and the sums of both logarithms."""
-            kinds, at, at_before = _local(np.concatenate(parts), _before(parts, opens))
-            pairs, back = np.unique(at_before.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64), return_inverse=True)
+            kinds, at, at_before = _local(parts, opens)
+            pairs, back = np.unique(_pairs(at, at_before), return_inverse=True)
             word, first = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), (pairs >> np.uint64(32)).astype(np.int64)
             hashes = bigram_hash(kinds[first], kinds[word])
             buckets, own = model.deal.of_bigrams(kinds[first], hashes), np.zeros((4, len(kinds)), np.int64)
-            levels, order = np.zeros(len(pairs), np.uint8), np.argsort(buckets, kind="stable")
+            levels, homes = np.zeros(len(pairs), np.uint8), model.homes[buckets]
+            order = np.argsort(homes, kind="stable")
             for k in turn[0]:
                 s = segment(k)
                 found, columns = s.words(kinds)
                 own[:, found] = columns
-                mine = order[slice(*np.searchsorted(buckets, (s.low, s.high), sorter=order))]
+                mine = order[slice(*np.searchsorted(homes, (k, k + 1), sorter=order))]
                 levels[mine] = s.levels(buckets[mine], hashes[mine])
             turn.reverse()
             for k in np.flatnonzero(model.deal.is_hot(kinds)):
@@ -455,14 +463,20 @@ def train(texts: DataFrame, volume: int, probes: tuple[int, int] | None = None,
     discount = lambda once, twice: once / (once + 2 * twice + 1) if once else 0.5
     shares = buckets.select(F.explode("shares").alias("s")).groupBy("s.word").agg(F.sum("s.followers").alias("f"), F.sum("s.sum").alias("q")).collect()  # at most MOST_HOT rows
     sums = {int(np.int64(r["word"]).view(np.uint64)): (r["f"], r["q"]) for r in shares}
-    model = Model(n, v, (discount(*times[:2]), discount(*times[2:])), deal, sums)
-    each = max(1, int(segment_bytes * (1 << bits) / max(1, stats["size"] or 0)))
-    own = buckets.select("bucket", "m", "probes", "bits", "n", "words")
+    model = Model(n, v, (discount(*times[:2]), discount(*times[2:])), deal, sums=sums)
+    model.homes = np.full(1 << bits, -1, np.int32)  # no segment: an empty bucket
 
     def segments() -> Iterator[Segment]:
-        for low in range(0, 1 << bits, each):
-            high = min(1 << bits, low + each)
-            yield Segment(own.where(F.col("bucket").between(low, high - 1)).repartitionByRange(high - low, "bucket").sortWithinPartitions("bucket").toLocalIterator(), deal, low, high)
+        held, size, number = [], 0, 0
+        for r in buckets.select("bucket", "m", "probes", "bits", "n", "words").toLocalIterator():  # one partition at a time is on its way
+            model.homes[r["bucket"]] = number
+            held.append(r)
+            size += len(r["bits"]) + len(r["words"])
+            if size >= segment_bytes:
+                yield Segment(held, deal)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield Segment(held, deal)
 
     return model, segments()
 
@@ -482,5 +496,5 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     texts = rows.where(~F.col("held_out")).select("text")
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     model, segments = train(texts, volume, probes, bucket_bytes, segment_bytes)
-    sent = [context.broadcast(s) for s in segments]
+    sent = [context.broadcast(s) for s in segments]  # fills in the model's homes
     return rows.mapInArrow(_scored(context.broadcast(model), sent), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -242,16 +242,16 @@ def test_probabilities_add_up_to_one(spark):
     assert single.sum() == pytest.approx(1, abs=1e-9)
     rng = np.random.default_rng(5)
     sums = []
-    for k in [*rng.choice(len(names), 120, False), *np.searchsorted(names, model.deal.hot[:5]), int(np.searchsorted(names, lm_bloom.START))]:
-        v = np.full(len(words), names[k])
+    for name in [*rng.choice(len(names), 120, False), *np.searchsorted(names, model.deal.hot[:5]), int(np.searchsorted(names, lm_bloom.START))]:
+        v = np.full(len(words), names[name])
         hashes = lm_bloom.bigram_hash(v, words)
         buckets = model.deal.of_bigrams(v, hashes)
         levels = np.zeros(len(words) + 1, np.uint8)
-        for s in segments:
-            mine = np.flatnonzero((buckets >= s.low) & (buckets < s.high))
+        for k, s in enumerate(segments):
+            mine = np.flatnonzero(model.homes[buckets] == k)
             levels[mine] = s.levels(buckets[mine], hashes[mine])
-        own = rows[:, k].copy()
-        own[1:3] = model.sums.get(int(names[k]), own[1:3])
+        own = rows[:, name].copy()
+        own[1:3] = model.sums.get(int(names[name]), own[1:3])
         sums.append(model.after(single, levels, *(np.full(len(single), x) for x in own[1:])).sum())
     sums = np.array(sums)
     assert np.median(np.abs(sums - 1)) < 0.02 and abs(sums.mean() - 1) < 0.02 and sums.max() < 1.6
@@ -270,7 +270,7 @@ def test_levels_survive_the_filter():
     levels = lm_bloom.level_of(rng.geometric(0.1, len(hashes)))
     m, bits = lm_bloom._filter(hashes, levels, (16, 10))
     deal = lm_bloom.Deal(4)
-    table = lm_bloom.Segment([{"bucket": 3, "m": m, "probes": [16, 10], "bits": bits, "n": 0, "words": b""}], deal, 3, 5)
+    table = lm_bloom.Segment([{"bucket": 3, "m": m, "probes": [16, 10], "bits": bits, "n": 0, "words": b""}], deal)
     at = np.full(len(hashes), 3)
     found = table.levels(at, hashes)
     assert (found >= levels).all() and (found == levels).mean() > 0.98 and (table.levels(at, hashes + np.uint64(1)) > 0).mean() < 0.01 and not table.levels(at + 1, hashes).any()
