@@ -473,8 +473,9 @@ def train(texts: DataFrame, volume: int, probes: tuple[int, int] | None = None,
             held.append(r)
             size += len(r["bits"]) + len(r["words"])
             if size >= segment_bytes:
-                yield Segment(held, deal)
-                held, size, number = [], 0, number + 1
+                done, held, size, number = Segment(held, deal), [], 0, number + 1
+                yield done
+                del done
         if held:
             yield Segment(held, deal)
 
@@ -497,4 +498,8 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     model, segments = train(texts, volume, probes, bucket_bytes, segment_bytes)
     sent = [context.broadcast(s) for s in segments]  # fills in the model's homes
-    return rows.mapInArrow(_scored(context.broadcast(model), sent), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    whole = context.broadcast(model)
+    scores = checkpoint(rows.mapInArrow(_scored(whole, sent), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    for b in [whole, *sent]:  # the scores are written, some 60 bytes a document
+        b.destroy()
+    return scores
