@@ -21,7 +21,7 @@ P(w | v) = max(Q(v w) - D2, 0) / Z(v) + D2 T(v) / Z(v) P(w),   Z(v) = sum of Q(v
 P(w) = max(c(w) - D1, 0) / N + D1 V / N / (V + 1),
 
 T(v): bigrams that v begins; D = n1 / (n1 + 2 n2 + 1) of words and of bigrams. E is the chance that the filter affirms a
-bigram it doesn't hold; a bucket probes its first level so often that E V is at most about 1/16, and what such answers
+bigram it doesn't hold; a bucket probes its first level so often that E V is at most about 1/4, and what such answers
 add on average is in Z. All unknown words together are one word of P.
 """
 
@@ -41,8 +41,8 @@ from .common import checkpoint, text_of
 
 BASE, LEVELS = 1.5, 64
 #: Probes at the first level beyond the bits of the vocabulary's size, and at every further level.
-MORE_PROBES, LEVEL_PROBES = 4, 10
-SEGMENT_BYTES = 24 << 20
+MORE_PROBES, LEVEL_PROBES = 2, 10
+SEGMENT_BYTES = 16 << 20
 #: N-grams held in memory before they are sorted and sent on, tokens scored at once, and words whose hashes are kept.
 CHUNK, BATCH, CACHE = 2_000_000, 500_000, 300_000
 #: Bytes of text per bucket, of a piece of a long text, and of the sample that finds frequent words; most frequent words.
@@ -326,14 +326,17 @@ class Segment:
             m, start = self.m[own[left]], self.start[own[left]]
             a = _mixed(hashes[left] + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
             b = _mixed(a) | np.uint64(1)
-            for k in range(int(needed.max())):  # as in _places; those missing a probe drop out
+            found = np.ones(len(left), bool)
+            for k in range(int(needed.max())):  # as in _places
                 at = ((a >> np.uint64(32)) * m >> np.uint64(32)).astype(np.int64)
-                here = (self.bits[start + (at >> 3)] >> (at & 7).astype(np.uint8) & 1 == 1) | (needed <= k)
-                a = a + b
-                if not here.all():
-                    left, needed, m, start, a, b = (x[here] for x in (left, needed, m, start, a, b))
+                found &= (self.bits[start + (at >> 3)] >> (at & 7).astype(np.uint8) & 1 == 1) | (needed <= k)
+                if np.count_nonzero(found) < 0.9 * len(found):  # those missing a probe drop out, many at once
+                    left, needed, m, start, a, b = (x[found] for x in (left, needed, m, start, a, b))
+                    found = np.ones(len(left), bool)
                     if not len(left):
                         break
+                a = a + b
+            left = left[found]
             out[left] = level
         return out
 
