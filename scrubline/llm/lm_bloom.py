@@ -21,7 +21,7 @@ P(w | v) = max(Q(v w) - D2, 0) / Z(v) + D2 T(v) / Z(v) P(w),   Z(v) = sum of Q(v
 P(w) = max(c(w) - D1, 0) / N + D1 V / N / (V + 1),
 
 T(v): bigrams that v begins; D = n1 / (n1 + 2 n2 + 1) of words and of bigrams. E is the chance that the filter affirms a
-bigram it doesn't hold; a bucket probes its first level so often that E V is at most about 1/4, and what such answers
+bigram it doesn't hold; a bucket probes its first level so often that E V is at most about 1/16, and what such answers
 add on average is in Z. All unknown words together are one word of P.
 """
 
@@ -41,7 +41,7 @@ from .common import checkpoint, text_of
 
 BASE, LEVELS = 1.5, 64
 #: Probes at the first level beyond the bits of the vocabulary's size, and at every further level.
-MORE_PROBES, LEVEL_PROBES = 2, 10
+MORE_PROBES, LEVEL_PROBES = 4, 8
 SEGMENT_BYTES = 16 << 20
 #: N-grams held in memory before they are sorted and sent on, tokens scored at once, and words whose hashes are kept.
 CHUNK, BATCH, CACHE = 2_000_000, 500_000, 300_000
