@@ -88,16 +88,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-#: Words are maximal runs of letters and digits; a run of 4 equal words is on the diagonal of every overlap.
+#: Words are maximal runs of letters and digits. Of 13 aligned words with 2 different ones, a run of 4 is equal; items of fewer words are met word by word.
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4),
-bp AS (SELECT item_id, w AS item, unnest(range(1, len(w) - 2)) AS j FROM b WHERE len(w) >= 13),
-hit AS (SELECT DISTINCT doc_id, item_id, w, item, i - j AS shift FROM dp JOIN bp ON w[i] = item[j] AND w[i+1] = item[j+1] AND w[i+2] = item[j+2] AND w[i+3] = item[j+3]),
-al AS (SELECT doc_id, item_id, shift, list_transform(range(greatest(1, shift + 1), least(len(w), shift + len(item)) + 1), lambda i: CASE WHEN w[i] = item[i - shift] THEN 1 ELSE 0 END) AS eq, greatest(0, shift) AS f FROM hit),
-win AS (SELECT *, list_filter(range(1, len(eq) - 11), lambda k: list_sum(eq[k:k+12]) >= 11) AS good FROM al WHERE len(eq) >= 13)
-SELECT DISTINCT doc_id, item_id, CAST(f + good[1] - 1 AS INT) AS doc_start, CAST(f + good[-1] + 12 AS INT) AS doc_end, CAST(f + good[1] - 1 - shift AS INT) AS item_start
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+bp AS (SELECT item_id, w AS item, unnest(range(1, len(w) + 1)) AS j FROM b),
+hit AS (SELECT DISTINCT doc_id, item_id, w, item, i - j AS shift FROM dp JOIN bp ON w[i] = item[j] AND w[i+1] = item[j+1] AND w[i+2] = item[j+2] AND w[i+3] = item[j+3] WHERE len(item) >= 13
+UNION SELECT DISTINCT doc_id, item_id, w, item, i - j AS shift FROM dp JOIN (SELECT * FROM bp WHERE len(item) < 13) AS short ON w[i] = item[j]),
+al AS (SELECT doc_id, item_id, shift, least(13, len(item)) AS width, list_transform(range(greatest(1, shift + 1), least(len(w), shift + len(item)) + 1), lambda i: CASE WHEN w[i] = item[i - shift] THEN 1 ELSE 0 END) AS eq, greatest(0, shift) AS f FROM hit),
+win AS (SELECT *, list_filter(range(1, len(eq) - width + 2), lambda k: list_sum(eq[k:k + width - 1]) >= width - least(2, width // 5)) AS good FROM al WHERE len(eq) >= width)
+SELECT DISTINCT doc_id, item_id, CAST(f + good[1] - 1 AS INT) AS doc_start, CAST(f + good[-1] + width - 1 AS INT) AS doc_end, CAST(f + good[1] - 1 - shift AS INT) AS item_start
 FROM win WHERE len(good) > 0
 """
 

@@ -59,7 +59,7 @@ def brute_overlaps(docs, items):
         w = words(text)
         for item, passage in items:
             p = words(passage)
-            width, allowed = min(13, len(p)), 2 if len(p) >= 13 else 0
+            width, allowed = min(13, len(p)), min(2, len(p) // 5)
             for shift in range(-len(p), len(w)):
                 good = [i for i in range(max(0, shift), min(len(w), shift + len(p)) - width + 1) if width and sum(w[i + k] != p[i + k - shift] for k in range(width)) <= allowed]
                 if good:
@@ -71,11 +71,11 @@ def test_overlaps_equal_brute_force(spark):
     random.seed(1)
     vocabulary = [f"w{i}" for i in range(12)]
     make = lambda n: [random.choice(vocabulary) for _ in range(n)]
-    items = [(k, make(n)) for k, n in enumerate((13, 14, 20, 30, 5, 1, 0))]
+    items = [(k, make(n)) for k, n in enumerate((13, 14, 20, 30, 5, 1, 0, 7, 10, 12, 9))]
     docs = []
     for d in range(40):
         words = make(30)
-        passage = list(items[d % 5][1])
+        passage = list(items[d % 11][1] or ["none"])
         for _ in range(d % 4):
             passage[random.randrange(len(passage))] = "other"
         docs.append((d, " ".join([*words[:15], *passage[d % 3 :], *words[15:]])))
@@ -90,6 +90,53 @@ def test_overlaps_equal_brute_force(spark):
     assert clean == {d for d, _ in docs} - {d for d, *_ in expected}
 
 
+def test_short_parts_are_lossless():
+    for n in range(1, decontaminate.WINDOW):
+        for gone in itertools.combinations(range(n), decontaminate.allowed(n)):
+            assert any(not set(range(at, at + size)) & set(gone) for at, size in decontaminate.parts_of(n))
+
+
+def test_overlaps_of_few_words_equal_brute_force(spark):
+    """Texts of one, two or three words hit themselves in many alignments and in long runs."""
+    random.seed(3)
+    make = lambda n, k: " ".join(random.choice("abc"[:k]) for _ in range(n))
+    docs = [(k, make(random.randrange(20, 90), 1 + k % 3)) for k in range(12)] + [(20, "a " * 60 + "b " + "a " * 60)]
+    items = [(k, make(random.randrange(3, 80), 1 + k % 3)) for k in range(9)] + [(20, "a " * 45 + "c " + "a " * 30)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlaps(frame, bench).drop("text_hash").collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_overlaps(docs, items))
+
+
+def test_a_repeated_word_in_text_and_item(spark):
+    """n equal words meet m of them in n + m alignments, not n * m hits."""
+    import time
+
+    n, m = 20_000, 2_000
+    frame, bench = spark.createDataFrame([(1, "so " * n)], "doc_id long, text string"), spark.createDataFrame([(1, "so " * m)], "item_id long, text string")
+    start = time.time()
+    rows = decontaminate.overlaps(frame, bench).drop("text_hash").collect()
+    assert time.time() - start < 60
+    expected = {(1, 1, max(0, s), min(n, s + m), max(0, s) - s) for s in range(13 - m, n - 12)}
+    assert {tuple(r) for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_many_items_that_share_a_beginning(spark):
+    shared = " ".join(f"s{k}" for k in range(20))
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.concat(F.lit(shared + " "), F.expr("concat_ws(' ', transform(sequence(1, 20), k -> concat('i', id, '_', k)))")).alias("text"))
+    docs = spark.createDataFrame([(1, f"x y {shared} z"), (2, "x y i77_1 i77_2 i77_3 i77_4 i77_5 i77_6 i77_7 i77_8 i77_9 i77_10 i77_11 i77_12 i77_13 z"), (3, "nothing of it")], "doc_id long, text string")
+    for block in (250_000, 100_000):  # two blocks, and four
+        got = decontaminate.overlaps(docs, items, block=block).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("doc_start").alias("low"), F.max("doc_end").alias("high")).collect()
+        # two words after the shared ones may differ, so the last accepted window ends on one of them
+        assert sorted((r.doc_id, r.n, r.low, r.high) for r in got if r.doc_id == 1) == [(1, 10_000, 2, 23)]
+        assert sorted((r.doc_id, r.n) for r in got if r.doc_id != 1) == [(2, 1)]
+
+
+def test_decontamination_runs_no_python(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = decontaminate.decontaminate(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
 def test_decontamination_of_awkward_and_empty_tables(spark, odd):
     bench = spark.createDataFrame([(1, "a b c d e", 3)], "item_id long, text string, tokens int")
     left = decontaminate.decontaminate(odd, bench)
