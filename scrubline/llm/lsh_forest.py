@@ -1,125 +1,142 @@
 """Nearest neighbours by a hash-prefix forest (cosine).
 
-Each tree hashes a vector to a long bit string of random-hyperplane signs and keeps the strings sorted.
-A query descends every tree to its longest matching prefix, then all trees ascend together, one bit at a
-time, until the rows under the matching prefixes number at least the wanted candidates. Candidates are
-compared exactly, in double precision.
-
-Rows are dealt by hash into blocks of about ``BLOCK`` rows, each with a forest of its own, and queries
-meet every block in broadcast sets of at most about ``QUERIES`` rows, so neither a block nor a broadcast
-grows with the data. The wanted candidates are a share of a block's rows: on vectors without structure,
-where the fifth neighbour is hardly nearer than the rest, a forest has to look at a large share to find
-it (see the README for measured recall).
+Each tree hashes a vector to a long bit string of random-hyperplane signs; a tree is the sorted array of its strings, cut
+into groups by their first bits so that a group has about ``GROUP`` rows. Queries are shuffled to the groups of their own
+strings; no query and no row meets more of a tree than that.
+
+Descent: in every tree a query goes to its longest matching prefixes, which stand next to its place in the sorted
+array. The rows found there are scored, and the k-th best cosine c gives the level to which all trees then ascend
+together: a row of cosine c shares the first x bits of a tree with probability p^x, p = 1 - acos(c) / pi, so it is missed by
+all T trees with probability (1 - p^x)^T; x is the longest prefix for which that is at most ``MISS``. Better neighbours
+share longer prefixes and are missed less. All rows under the prefixes at that level are then scored in double precision.
+
+On vectors with near neighbours few rows are looked at; on vectors without structure the level falls, at 0 to all
+rows, which is the exact way. The column ``candidates`` tells how many rows were scored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, QUERIES = 8192, 16384
-TREES, BITS, SHARE = 24, 32, 0.65
-
-
-class HashPrefixForest:
-    """A forest over the rows of ``vectors`` (unit length, double)."""
-
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 7):
-        self.vectors, self.bits = vectors, bits
-        self.planes = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1], bits))
-        codes = [self._codes(vectors, t) for t in range(trees)]
-        self.order = [np.argsort(c, kind="stable") for c in codes]
-        self.sorted = [c[o] for c, o in zip(codes, self.order, strict=True)]
-
-    def _codes(self, vectors: np.ndarray, tree: int) -> np.ndarray:
-        return ((vectors @ self.planes[tree]) > 0) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
-
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """For each query a boolean mask over the rows: those that share its prefixes at the highest level with ``wanted`` rows."""
-        trees, levels = len(self.order), self.bits + 1
-        low, high = (np.empty((levels, trees, len(queries)), np.int64) for _ in range(2))
-        for t in range(trees):
-            codes = self._codes(queries, t)
-            for level in range(levels):  # a level is the number of bits shared
-                rest = self.bits - level
-                low[level, t] = np.searchsorted(self.sorted[t], codes >> rest << rest)
-                high[level, t] = np.searchsorted(self.sorted[t], (codes >> rest) + 1 << rest)
-        sizes = (high - low).sum(1)
-        for q in range(len(queries)):
-            level = int(np.flatnonzero(sizes[:, q] >= min(wanted, len(self.vectors)))[-1])  # fewer rows lie below for sure
-            mask = np.zeros(len(self.vectors), bool)
-            while True:
-                for t in range(trees):
-                    mask[self.order[t][low[level, t, q] : high[level, t, q]]] = True
-                if level == 0 or np.count_nonzero(mask) >= wanted:
-                    break
-                level -= 1
-            yield mask
-
-
-def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, and the norms; scaled first so that squares neither overflow nor vanish."""
-    peak = np.abs(vectors).max(1, keepdims=True)
-    scaled = vectors / peak
-    norm = np.sqrt((scaled * scaled).sum(1, keepdims=True))
-    return scaled / norm, (norm * peak)[:, 0]
-
-
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> list[tuple[int, int, float]]:
-    """The ``k`` nearest rows of one block that the forest finds, per query: ``(query, id, cosine)``, nearest first, ties by id."""
-    rows, _ = _unit(vectors)
-    asked, _ = _unit(queries)
-    forest = HashPrefixForest(rows)
-    wanted = max(min(len(rows), 2 * k + 2), int(np.ceil(share * len(rows))))
-    out: list[tuple[int, int, float]] = []
-    for start in range(0, len(asked), 512):
-        part = slice(start, start + 512)
-        near = asked[part] @ rows.T
-        for q, (mask, cosines) in enumerate(zip(forest.candidates(asked[part], wanted), near, strict=True), start):
-            found = np.flatnonzero(mask & (ids != query_ids[q]))
-            if not len(found):
-                continue
-            values = cosines[found]
-            least = np.partition(values, len(values) - k)[len(values) - k] if len(values) > k else values.min()
-            found = found[values >= least - 1e-9]  # what may tie with the k-th
-            exact = np.einsum("ij,j->i", rows[found], asked[q])
-            for i in np.lexsort((ids[found], -exact))[:k]:
-                out.append((int(query_ids[q]), int(ids[found[i]]), float(exact[i])))
-    return out
-
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    table = table.combine_chunks()
-    column = table.column("v")
-    values = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
-    n = table.num_rows
-    return np.asarray(table.column("id")), np.asarray(values, dtype=np.float64).reshape(n, -1 if n else 0)
-
-
-def _in_block(sent: Broadcast, k: int, share: float):
-    def block(table: pa.Table) -> pa.Table:
-        ids, matrix = _matrix(table)
-        columns = list(zip(*nearest(ids, matrix, *sent.value, k, share), strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+from .common import checkpoint, small_enough
+
+TREES, BITS, MISS = 128, 32, 0.1
+#: Rows of a group of a tree, rows on each side of a query's place that the descent looks at, and rows and queries scored together.
+GROUP, BESIDE, BLOCK, QUERIES = 4096, 4, 8192, 4096
+#: Groups above twice GROUP that are broadcast, at most.
+BROADCAST_GROUPS = 100_000
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled first so that squares neither overflow nor vanish."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+
+
+def _planes(size: int, trees: int, bits: int) -> np.ndarray:
+    return np.random.default_rng([7, size]).standard_normal((size, trees * bits))
+
+
+def codes(vectors: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
+    """The bit strings of unit vectors, one column for each tree, the first bit the highest."""
+    signs = (vectors @ _planes(vectors.shape[1], trees, bits) > 0).reshape(len(vectors), trees, bits)
+    return signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _hashed(trees: int, bits: int):
+    def rows(batches):
+        for batch in batches:
+            sizes = np.asarray(batch.column("size"))
+            for size in np.unique(sizes):
+                own = batch.filter(pa.array(sizes == size))
+                for at in range(0, own.num_rows, 1024):
+                    part = own.slice(at, 1024)
+                    found = codes(_unit(_matrix(part.column("v"))), trees, bits)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * trees, pa.int32()), pa.array(found.ravel()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "codes"])
+
+    return rows
+
+
+def _descended(bits: int, beside: int):
+    """For each query of a group the rows next to its place."""
+
+    def group(index: pa.Table, asked: pa.Table) -> pa.Table:
+        code, ids = np.asarray(index.column("code")), np.asarray(index.column("id"))
+        order = np.argsort(code, kind="stable")
+        at = np.searchsorted(code[order], np.asarray(asked.column("code")))
+        places = at[:, None] + np.arange(-beside, beside)
+        good = (places >= 0) & (places < len(ids))
+        query = np.broadcast_to(np.asarray(asked.column("query"))[:, None], places.shape)[good]
+        return pa.table({"query": query, "id": ids[order][places[good]] if len(ids) else np.empty(0, np.int64)})
+
+    return group
+
+
+def _ascended(bits: int):
+    """For each query of a group all rows that share its prefix at its level."""
+
+    def group(index: pa.Table, asked: pa.Table) -> pa.Table:
+        code, ids = np.asarray(index.column("code")), np.asarray(index.column("id"))
+        order = np.argsort(code, kind="stable")
+        code, ids = code[order], ids[order]
+        own, rest = np.asarray(asked.column("code")), bits - np.asarray(asked.column("level"))
+        low, high = np.searchsorted(code, own >> rest << rest), np.searchsorted(code, (own >> rest) + 1 << rest)
+        n = high - low
+        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return pa.table({"query": np.repeat(np.asarray(asked.column("query")), n), "id": ids[places]})
+
+    return group
+
+
+_PAIRS = "query long, id long"
+
+
+def _scored(k: int):
+    """The k best of a block's rows for each query that has candidates in it, and how many were scored."""
+
+    def block(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(4)]
+        if rows.num_rows and asked.num_rows:
+            rows = rows.sort_by("id").combine_chunks()
+            ids, sizes = np.asarray(rows.column("id")), np.asarray(rows.column("size"))
+            units, place = {}, np.empty(len(ids), np.int64)
+            for s in np.unique(sizes):
+                mine = np.flatnonzero(sizes == s)
+                units[s], place[mine] = _unit(_matrix(rows.column("v").combine_chunks().take(pa.array(mine)))), np.arange(len(mine))
+            for query, v, found in zip(asked.column("query").to_pylist(), asked.column("v"), asked.column("ids"), strict=True):
+                vector = np.asarray(v.values, dtype=np.float64)[None]
+                at = np.searchsorted(ids, np.asarray(found.values))
+                values = np.einsum("ij,j->i", units[vector.shape[1]][place[at]], _unit(vector)[0])
+                for i in np.lexsort((ids[at], -values))[:k]:
+                    for column, x in zip(out, (query, int(ids[at[i]]), float(values[i]), 0), strict=True):
+                        column.append(x)
+                out[3][-1] = len(at)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "id", "score", "n"), out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
 
     return block
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, miss: float = MISS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` for each row of ``queries``, as found by the forest.
 
     Columns: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (cosine in double precision of the
-    original vectors), nearest first, ties to the smaller id; all candidates where there are fewer. Rows
-    with the query's own id are no candidates. Null vectors, zero vectors, vectors that hold null or
-    non-finite components, vectors of another than the most frequent length, and null ids take no part.
+    original vectors), nearest first, ties to the smaller id; all candidates where there are fewer; and ``candidates``,
+    the number of distinct vectors scored. Rows with the query's own id are no candidates. Null vectors, zero
+    vectors, vectors that hold null or non-finite components, and null ids take no part; a vector's candidates are the
+    vectors of its length, since a cosine needs two of the same.
     A repeated query id is asked once, with the vector of the smallest hash; repeated rows of
     ``vectors`` are separate candidates. Empty tables give no rows.
     """
-    spark = vectors.sparkSession
 
     def sound(df: DataFrame) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")
@@ -127,30 +144,65 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.where(finite & F.exists("v", lambda x: x != 0))
 
-    rows = sound(vectors)
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).take(1)
-    found = "query_id long, vec_id long, score double"
-    parts: list[DataFrame] = []
-    if lengths:
-        rows = rows.where(F.size("v") == lengths[0]["d"])
-        total = rows.count()
-        n_blocks = max(1, -(-total // block))
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)))
-        asked = sound(queries).where(F.size("v") == lengths[0]["d"])
-        asked = asked.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-        n_sets = max(1, -(-asked.count() // QUERIES))
-        for s in range(n_sets):
-            chosen = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_sets)) == s).orderBy("id").toArrow()
-            query_ids, matrix = _matrix(chosen)
-            if not len(query_ids):
-                continue
-            sent = spark.sparkContext.broadcast((query_ids, matrix))
-
-            parts.append(dealt.groupBy("block").applyInArrow(_in_block(sent, k, share), found))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # equal vectors are one row of the index, whose k + 1 smallest ids are all that a result can name; a hot one is salted first
+    few = lambda c: F.slice(F.sort_array(c), 1, k + 1)
+    salted = sound(vectors).groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"), F.floor(F.monotonically_increasing_id() / (1 << 33)).alias("task"))
+    distinct = salted.agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
+    named = distinct.select(F.monotonically_increasing_id().alias("id"), F.size("v").alias("size"), "v", "ids")
+    index = checkpoint(named.mapInArrow(_hashed(trees, bits), "id long, size int, v array<double>, ids array<long>, codes array<long>"))
+    asked = sound(queries).groupBy("id").agg(F.min_by("v", F.struct(F.xxhash64("v"), F.col("v"))).alias("v")).select("id", F.size("v").alias("size"), "v")
+    asked = checkpoint(asked.mapInArrow(_hashed(trees, bits), "id long, size int, v array<double>, codes array<long>"))
+    total, n_asked = index.count(), asked.count()
+    fixed = min(bits, max(0, int(np.ceil(np.log2(max(1, total / group))))))  # first bits that name a group
+    prefix = lambda code: F.shiftright(code, bits - fixed)
+    strings = lambda df, *more: df.select("id", "size", *more, F.posexplode("codes").alias("tree", "code")).withColumn("prefix", prefix(F.col("code")))
+    rows = strings(index)
+    # groups of very similar vectors are dealt into parts, and their queries go to every part
+    sizes = rows.groupBy("size", "tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * group)
+    large = checkpoint(sizes.select("size", "tree", "prefix", F.ceil(F.col("n") / group).cast("int").alias("parts")))
+    side = F.broadcast(large) if small_enough(large.count(), BROADCAST_GROUPS) else large
+    place = ["size", "tree", "prefix"]
+    dealt = rows.join(side, place, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long"))).select("id", "code", *place, "part")
+
+    def met(questions: DataFrame, work) -> DataFrame:
+        """Pairs of queries and index rows that ``work`` finds in the groups of ``questions(query, code, level, size, tree, prefix)``."""
+        everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1))
+        sent = questions.join(side, place, "left").select("query", "code", "level", *place, everywhere.alias("part"))
+        keys = [*place, "part"]
+        return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(work, _PAIRS).distinct()
+
+    n_blocks, n_sets = max(1, -(-total // block)), max(1, -(-n_asked // QUERIES))
+    home, team = (lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))), (lambda c: F.pmod(F.xxhash64(c), F.lit(n_sets)))
+
+    def scores(pairs: DataFrame, best: int) -> DataFrame:
+        """The ``best`` rows of every block and the number scored there, for each query."""
+        lists = pairs.groupBy("query", home("id").alias("block")).agg(F.collect_list("id").alias("ids"))
+        wanted = lists.join(asked.select(F.col("id").alias("query"), "v"), "query").withColumn("team", team("query"))
+        stored = index.select("id", "size", "v", home("id").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sets - 1).cast("long"))).alias("team"))
+        return stored.groupBy("block", "team").cogroup(wanted.groupBy("block", "team")).applyInArrow(_scored(best), "query long, id long, score double, n long")
+
+    questions = strings(asked, F.col("id").alias("query"), F.lit(bits).alias("level")).drop("id")
+    # k + 1 vectors hold k others besides the query's own
+    first = scores(met(questions, _descended(bits, BESIDE)), k + 1)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
+    reached = ranked.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(F.lit(-1.0)).alias("c"))
+    levels = checkpoint(asked.select(F.col("id").alias("query")).join(reached, "query", "left").select("query", _level(F.coalesce("c", F.lit(-1.0)), trees, bits, miss).alias("level")))
+    questions = strings(asked, F.col("id").alias("query")).drop("id").join(levels, "query").where((F.col("level") > 0) | (F.col("tree") == 0))  # every tree holds all rows
+    above = F.greatest(F.lit(fixed) - F.col("level"), F.lit(0))  # bits of the group's name that may differ
+    under = F.expr("shiftleft(1L, above) - 1")
+    questions = questions.withColumn("above", above.cast("int")).withColumn("start", F.expr("shiftleft(shiftright(prefix, above), above)"))
+    questions = questions.select("query", "code", "level", "size", "tree", F.explode(F.sequence(F.col("start"), F.col("start") + under)).alias("prefix"))
+    found = scores(met(questions, _ascended(bits)), k + 1)
+    found = found.withColumn("candidates", F.sum("n").over(Window.partitionBy("query")))
+    found = found.join(index.select("id", F.explode("ids").alias("vec_id")), "id").where("vec_id <> query")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.select(F.col("query").alias("query_id"), "rank", "vec_id", "score", "candidates")
+
+
+def _level(c: Column, trees: int, bits: int, miss: float) -> Column:
+    """The longest prefix at which a row of cosine ``c`` is missed by all trees with probability ``miss`` at most."""
+    p = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))) / np.pi
+    limit = float(np.log(1 - miss ** (1 / trees)))
+    level = F.floor(F.lit(limit) / F.log(p)).cast("int")
+    return F.when(p >= 1, bits).when(p <= 0, 0).otherwise(F.least(F.lit(bits), F.greatest(F.lit(0), level)))

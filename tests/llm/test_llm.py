@@ -329,8 +329,8 @@ def test_forest_finds_exact_scores_and_ties(spark):
     base = rng.standard_normal((300, 16))
     rows = [(i, [float(x) for x in base[i % 290]], "x") for i in range(300)] + [(400, None, ""), (401, [0.0] * 16, ""), (402, [1.0, None] * 8, ""), (403, [float("nan")] * 16, ""), (404, [1.0], ""), (None, [1.0] * 16, "")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
-    for block in (8192, 60):
-        got = lsh_forest.search(frame, frame.where("vec_id % 50 = 0"), 5, block=block).collect()
+    for sizes in ({}, {"block": 60, "group": 16}):
+        got = lsh_forest.search(frame, frame.where("vec_id % 50 = 0"), 5, **sizes).collect()
         unit = base[np.arange(300) % 290]
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         hits = 0
@@ -365,6 +365,46 @@ def test_recall_on_the_given_vectors(spark):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def test_descent_and_ascent_equal_brute_force():
+    """In a group's sorted strings: the longest matching prefixes, and all rows under a prefix."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    code = rng.integers(0, 1 << 12, 200)
+    code[:40] = code[0]  # ties
+    asked = np.concatenate([code[:5], rng.integers(0, 1 << 12, 20)])
+    index = pa.table({"id": pa.array(np.arange(200)), "code": pa.array(code)})
+    common = lambda x, y: 12 - int(x ^ y).bit_length()
+    found = lsh_forest._descended(12, 4)(index, pa.table({"query": pa.array(np.arange(25)), "code": pa.array(asked)}))
+    got = {}
+    for q, i in zip(found["query"].to_pylist(), found["id"].to_pylist(), strict=True):
+        got.setdefault(q, []).append(i)
+    assert all(max(common(asked[q], code[i]) for i in got[q]) == max(common(asked[q], c) for c in code) and 4 <= len(got[q]) <= 8 for q in range(25))
+    for level in (0, 3, 7, 12):
+        found = lsh_forest._ascended(12)(index, pa.table({"query": pa.array(np.arange(25)), "code": pa.array(asked), "level": pa.array(np.full(25, level))}))
+        expected = sorted((q, i) for q in range(25) for i in range(200) if common(asked[q], code[i]) >= level)
+        assert sorted(zip(found["query"].to_pylist(), found["id"].to_pylist(), strict=True)) == expected
+
+
+def test_clustered_vectors_need_few_candidates(spark):
+    """Where neighbours are near, few rows are scored and none is missed; equal vectors are named by their smallest ids."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((100, 32))
+    base = np.repeat(centres, 10, 0) + 0.15 * rng.standard_normal((1000, 32))
+    base[500:700] = base[500]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    got = {}
+    rows = lsh_forest.search(frame, frame.where("vec_id % 50 = 0"), 5, group=64).collect()
+    for r in sorted(rows, key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 1000, 50):
+        cosines = np.round(unit @ unit[q], 12)
+        cosines[q] = -9
+        assert got[q] == np.lexsort((np.arange(1000), -cosines))[:5].tolist()
+    assert np.mean([r.candidates for r in rows]) < 100
+
+
 # 5 token counts
 def test_context_limits(spark, odd, documents):
     for frame in (odd, documents):
