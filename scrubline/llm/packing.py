@@ -1,13 +1,13 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups (equal texts) are the items. Groups of at least ``total / (shards * LARGE)`` bytes are packed
-one by one; there are at most ``shards * LARGE`` of them. The many smaller ones are joined by the hash
-of their key into at most ``shards * BUNDLES`` bundles, which are packed as one item each. So the
-driver sees a number of items fixed by the shard count, whatever the number of documents, and a group
-is never split.
-
-For a fixed number of shards the capacity is the smallest one for which best-fit-decreasing needs no
-more bins (found by bisection). A group larger than an even share gets a shard of its own first, since
+Groups (equal texts) are the items. Best-fit-decreasing cares for sizes only, and equal sizes are interchangeable, so
+the driver packs the histogram of group sizes: a bin that is the tightest for one group stays the tightest for the
+next ones of the same size until it is full, so they enter in one step, with the same result as one by one. What the
+driver holds are the distinct sizes and the bins, not the groups. Every group then finds its rank among the groups of
+its size, and the range of ranks that entered a bin names its shard. No group is split, bundled or left out.
+
+For a fixed number of shards the capacity is raised from an even share until best-fit-decreasing needs no more bins,
+then narrowed by bisection. A group larger than an even share gets a shard of its own first, since
 no packing can make that shard smaller; the rest share the remaining shards evenly.
 """
 
@@ -17,11 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, small_enough
 
-LARGE, BUNDLES = 256, 64
-#: Slots are numbered in about this many independent parts.
-SLOT_PARTS = 4096
+#: Groups of one size, or rows of one shard, that are numbered by one task.
+RANKED = 250_000
+#: Groups with at least this share of all rows are joined by broadcast; there are at most as many as its inverse.
+HOT = 1 / 1000
+#: Ranges of ranks that are broadcast, at most.
+BROADCAST_RANGES = 500_000
+
+#: Groups of ``size`` with ranks from ``first`` to before ``end`` are in ``bin``.
+Range = tuple[int, int, int, int]
 
 
 class _Node:
@@ -107,45 +113,71 @@ class BinTree:
         self.root = cut(self.root, key)
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item, in the items' order. Items go in by falling size, ties by position; each
-    enters the tightest bin that holds it, the lowest-numbered among equals, or opens a new bin. An item
-    larger than the capacity gets a bin that takes nothing else."""
-    bins, tree, opened = [0] * len(sizes), BinTree(), 0
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        size = sizes[k]
-        at = tree.take_tightest(size)
-        if at is None:
-            at = (max(capacity, size), opened)
-            opened += 1
-        bins[k] = at[1]
-        tree.insert((at[0] - size, at[1]))
-    return bins
-
-
-def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """The shard of each item so that sizes are near equal: own shards for items over an even share,
-    then best-fit-decreasing with the least capacity that suffices for the others."""
-    where, rest, left, total = [0] * len(sizes), sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)), shards, sum(sizes)
-    while left > 1 and rest and sizes[rest[0]] * left >= total:
+def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[Range] | None:
+    """Pack ``histogram`` of sizes and counts: items go in by falling size, each enters the tightest bin that holds it, the
+    lowest-numbered among equals, or opens a new bin. An item larger than the capacity gets a bin that takes nothing
+    else. None if more than ``most`` bins are needed."""
+    out: list[Range] = []
+    tree, opened = BinTree(), 0
+    for size, count in sorted(histogram, reverse=True):
+        placed = 0
+        while placed < count:
+            at = tree.take_tightest(size)
+            if at is None:
+                if opened == most:
+                    return None
+                at = (max(capacity, size), opened)
+                opened += 1
+            n = min(count - placed, at[0] // size) if size else count - placed
+            out.append((size, placed, placed + n, at[1]))
+            placed += n
+            tree.insert((at[0] - n * size, at[1]))
+    return out
+
+
+def pack_into(histogram: list[tuple[int, int]], shards: int) -> list[Range]:
+    """The shards of the items so that sizes are near equal: own shards for items over an even share,
+    then best-fit-decreasing with a least capacity that suffices for the others."""
+    rest, left, total = sorted(([s, n] for s, n in histogram if n), reverse=True), shards, sum(s * n for s, n in histogram)
+    out: list[Range] = []
+    gone = dict.fromkeys((s for s, _ in rest), 0)
+    while left > 1 and rest and rest[0][0] * left >= total and total:
+        size = rest[0][0]
         left -= 1
-        where[rest[0]] = left
-        total -= sizes[rest.pop(0)]
+        out.append((size, gone[size], gone[size] + 1, left))
+        gone[size] += 1
+        total -= size
+        rest[0][1] -= 1
+        if not rest[0][1]:
+            rest.pop(0)
     if not rest:
-        return where
-    own = [sizes[k] for k in rest]
-    low, high = max(own[0], -(-total // left)), max(own[0], 2 * -(-total // left))
-    while max(best_fit_decreasing(own, high)) >= left:
-        high *= 2
+        return out
+    low = high = max(rest[0][0], -(-total // left))
+    step = 1
+    while (found := best_fit_decreasing(rest, high, left)) is None:
+        low, high, step = high + 1, high + step, 2 * step
     while low < high:
         middle = (low + high) // 2
-        if max(best_fit_decreasing(own, middle)) < left:
-            high = middle
-        else:
+        tried = best_fit_decreasing(rest, middle, left)
+        if tried is None:
             low = middle + 1
-    for k, b in zip(rest, best_fit_decreasing(own, high), strict=True):
-        where[k] = b
-    return where
+        else:
+            found, high = tried, middle
+    return out + [(s, a + gone[s], b + gone[s], k) for s, a, b, k in found]
+
+
+def _numbered(rows: DataFrame, group: str, order: list[str], spread: str) -> DataFrame:
+    """``rows`` with ``rank``, from 0 without gaps in each ``group``. A group of more than ``RANKED`` rows is cut into parts by the hash
+    of ``spread``, which are numbered by themselves and put one after the other."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANKED)
+    large = checkpoint(sizes.select(F.col(group).alias("large"), F.ceil(F.col("n") / RANKED).cast("long").alias("parts")))  # at most the rows / RANKED
+    cut = rows.join(F.broadcast(large), F.col(group) == F.col("large"), "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("parts"))).otherwise(F.lit(0).cast("long"))).drop("large")
+    counts = cut.where("parts is not null").groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = checkpoint(counts.select(F.col(group).alias("large"), F.col("part").alias("large_part"), before.alias("before")))
+    cut = cut.join(F.broadcast(starts), (F.col(group) == F.col("large")) & (F.col("part") == F.col("large_part")), "left")
+    own = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order)) - 1
+    return cut.withColumn("rank", F.coalesce("before", F.lit(0)) + own).drop("parts", "part", "large", "large_part", "before")
 
 
 def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
@@ -154,8 +186,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
     Give ``shards`` for a fixed number with near equal bytes, or ``capacity`` in bytes for as few shards
     as best-fit-decreasing finds. Columns: ``doc_id``, ``size`` (UTF-8 bytes plus ``overhead``),
     ``text_crc32`` (unsigned), ``shard``, ``slot`` (from 0 without gaps in each shard). A null text has
-    size ``overhead``, the crc of the empty text and a group of its own; null ids, ties and repeated rows
-    are placed like others; an empty table gives no rows.
+    size ``overhead``, the crc of the empty text and, with the other null texts, a group of its own; null ids, ties
+    and repeated rows are placed like others; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -167,32 +199,16 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
         F.monotonically_increasing_id().alias("row"),  # spreads rows that are equal in all else
     )
     base = checkpoint(base)  # one pass over the texts; what follows moves about 60 bytes a document
-    total = base.agg(F.sum("size")).first()[0] or 0
-    share = total // shards if shards else capacity
-    least = max(1, share // LARGE)
-    groups = base.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    n_bundles = max(1, (shards or max(1, total // capacity)) * BUNDLES)
-    bundle = F.pmod(F.xxhash64("key"), F.lit(n_bundles))
-    units = groups.select(F.when(F.col("bytes") >= least, F.col("key")).alias("key"), bundle.alias("bundle"), "bytes", "rows")
-    units = units.groupBy("key", F.when(F.col("key").isNull(), F.col("bundle")).alias("bundle")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    # at most shards * LARGE keys and n_bundles bundles
-    packed = sorted(units.collect(), key=lambda r: (-r["bytes"], r["bundle"] if r["bundle"] is not None else -1, bytes(r["key"] or b"")))
-    sizes = [r["bytes"] for r in packed]
-    places = (pack_into(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)) if sizes else []
-    n_rows = sum(r["rows"] for r in packed)
-    limit = max(1, -(-n_rows // SLOT_PARTS))
-    table = [(r["key"], r["bundle"], u, int(places[u]), -(-r["rows"] // limit)) for u, r in enumerate(packed)]
-    big = spark.createDataFrame([(x[0], x[2], x[3], x[4]) for x in table if x[0] is not None], "key binary, unit int, shard int, parts int")
-    small = spark.createDataFrame([(x[1], x[2], x[3], x[4]) for x in table if x[0] is None], "bundle long, s_unit int, s_shard int, s_parts int")
-    placed = base.withColumn("bundle", bundle).join(F.broadcast(big), "key", "left").join(F.broadcast(small), "bundle", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", "row", F.coalesce("unit", "s_unit").alias("unit"), F.coalesce("shard", "s_shard").alias("shard"), F.coalesce("parts", "s_parts").alias("parts"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    counts = placed.groupBy("shard", "unit", "part").agg(F.count(F.lit(1)).alias("n")).orderBy("shard", "unit", "part").collect()
-    starts, at = [], {}
-    for r in counts:  # at most one row per unit and SLOT_PARTS more
-        starts.append((r["unit"], r["part"], at.get(r["shard"], 0)))
-        at[r["shard"]] = at.get(r["shard"], 0) + r["n"]
-    first = spark.createDataFrame(starts, "unit int, part int, first long")
-    order = Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32", "row")
-    slots = placed.withColumn("rank", F.row_number().over(order)).join(F.broadcast(first), ["unit", "part"])
-    return slots.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - 1).alias("slot"))
+    groups = checkpoint(base.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+    histogram = [tuple(r) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]  # distinct sizes
+    placed = (pack_into(histogram, shards) if shards else best_fit_decreasing(histogram, capacity)) if histogram else []
+    ranges = spark.createDataFrame(placed, "in_size long, first long, end long, shard int")
+    side = F.broadcast(ranges) if small_enough(len(placed), BROADCAST_RANGES) else ranges
+    ranked = _numbered(groups, "bytes", ["key"], "key")
+    homes = ranked.join(side, (F.col("bytes") == F.col("in_size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    homes = checkpoint(homes.select("key", "shard", "rows"))
+    n_rows = homes.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(homes.where(F.col("rows") >= max(2, HOT * n_rows)).select("key", "shard"))
+    cold = homes.where(F.col("rows") < max(2, HOT * n_rows)).select("key", "shard")
+    rows = base.join(hot, "key").unionByName(base.join(hot, "key", "left_anti").join(cold, "key")).drop("key")
+    return _numbered(rows, "shard", ["doc_id", "text_crc32", "row"], "row").select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"))

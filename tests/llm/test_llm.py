@@ -566,20 +566,54 @@ def plain_best_fit(sizes, capacity):
     return where
 
 
+def _bins(sizes, ranges):
+    """The bin of each item, equal sizes in their order."""
+    seen, where = Counter(), []
+    for s in sizes:
+        where.append(next(b for size, first, end, b in ranges if size == s and first <= seen[s] < end))
+        seen[s] += 1
+    return where
+
+
 def test_packing():
     random.seed(8)
     for _ in range(60):
-        sizes = [random.randint(1, 60) for _ in range(random.randint(0, 120))]
-        assert packing.best_fit_decreasing(sizes, 60) == plain_best_fit(sizes, 60)
+        sizes = [random.randint(1, 70) for _ in range(random.randint(0, 120))]
+        assert _bins(sizes, packing.best_fit_decreasing(list(Counter(sizes).items()), 60)) == plain_best_fit(sizes, 60)
     sizes = [1000, *[random.randint(1, 40) for _ in range(500)]]
     loads = Counter()
-    for s, b in zip(sizes, packing.pack_into(sizes, 8), strict=True):
+    for s, b in zip(sizes, _bins(sizes, packing.pack_into(list(Counter(sizes).items()), 8)), strict=True):
         loads[b] += s
     assert sorted(loads) == list(range(8)) and loads.most_common(1)[0][1] in (1000, max(loads.values()))
     even = sorted(loads.values())[:-1] if max(loads.values()) == 1000 else sorted(loads.values())
     assert max(even) - min(even) <= 0.05 * max(even)
 
 
+@pytest.mark.parametrize("ranked", [250_000, 7])
+def test_shards_equal_plain_best_fit_decreasing(spark, documents, monkeypatch, ranked):
+    """All groups of the documents, packed one by one without a tree or a histogram."""
+    monkeypatch.setattr(packing, "RANKED", ranked)
+    rows = documents.collect()
+    texts = Counter()
+    for r in rows:
+        texts[r.text] += len((r.text or "").encode()) + 8
+    order = sorted(texts, key=lambda t: (-texts[t], hashlib.sha256(t.encode()).digest() if t is not None else b""))
+    sizes = [texts[t] for t in order]
+    expected = Counter()
+    for size, b in zip(sizes, plain_best_fit(sizes, 60_000), strict=True):
+        expected[b, size] += 1
+    got = {}
+    by_id = {r.doc_id: r.text for r in rows}
+    for r in packing.shard_documents(documents, None, 60_000).collect():
+        got.setdefault(r.shard, set()).add(by_id[r.doc_id])
+    assert Counter((b, texts[t]) for b, ts in got.items() for t in ts) == expected
+    for shards in (24,):
+        slots = {}
+        for r in packing.shard_documents(documents, shards).collect():
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert sorted(slots) == list(range(shards)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_shards(spark, documents, odd):
     for frame, shards in ((documents, 24), (odd, 3)):
         rows = packing.shard_documents(frame, shards).collect()
