@@ -3,10 +3,14 @@
 A page becomes a tree in which every node knows the characters, tags, link characters and link tags
 below it. A node's composite density is its characters per tag, scaled by how far its links are outweighed;
 a node's density sum is that of its children. The node with the greatest sum holds the article; the least
-density on its path to the body is the threshold that other subtrees must reach to count as content.
+density on its path to the body is the threshold. Subtrees elsewhere that reach the threshold are content too, by
+their own greatest sum. Within content, a block of several links that doesn't reach the threshold and whose text is
+mostly links is a menu and goes. What belongs to an article but is too short for densities stays with it: the
+rest of an ``article`` or ``main`` around the greatest sum, and headings and paragraphs beside its path.
 
 Elements that are boilerplate by their tag, role or name (menus, banners, adverts, notices, forms,
-reader comments and the like) are left out before densities are computed.
+reader comments and the like) are left out before densities are computed. A class or an id names boilerplate only as a
+whole: ``ad-slot`` or ``related-posts`` do, ``related-work`` doesn't.
 """
 
 from __future__ import annotations
@@ -30,28 +34,42 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: Elements never part of an article.
 DROPPED = frozenset("script style noscript iframe template svg canvas object embed audio video map head title nav aside footer form fieldset button select textarea input label dialog menu frameset noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of a class or id that name boilerplate.
+#: Words that name boilerplate, and words that may stand beside them in a class or an id that does.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup paywall sidebar sidebars aside rail menu menus navbar nav navigation breadcrumb breadcrumbs topbar toolbar masthead header footer comment comments commentlist disqus respond responses reply replies related recommended recommendations share sharing social popup modal overlay widget widgets pagination pager login search skip".split())
+BESIDE_NAMES = frozenset("site page global main primary secondary left right top bottom inner outer upper lower area section box block wrap wrapper container content list item items slot unit text bar panel group posts post articles stories links buttons form tags icons js the of and 1 2 3".split())
+#: Elements too small to be boilerplate by name inside an article, and those that stay beside the path to the greatest sum.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd b strong i em u s a span code q cite small sub sup mark abbr time td th tr tbody".split())
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 #: Names that inside an article may hold its title, and those that make an article element itself boilerplate.
 HEADING_NAMES = frozenset("header masthead banner".split())
 ARTICLE_NAMES = frozenset("comment comments reply ad advert sponsored promo related".split())
 #: A start tag closes these open elements, up to the nearest element of the second set.
 _P_ENDERS = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that hold an article.
+HOMES = frozenset(("article", "main"))
 _KEPT = frozenset(("html", "body", "main", "article"))
 
 
+def _names(word: str, names: frozenset) -> bool:
+    """Whether a class or an id as a whole names boilerplate."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", word).lower()) if x]
+    return any(x in names for x in parts) and all(x in names or x in BESIDE_NAMES for x in parts)
+
+
 class Page:
     """The tree of one page, in parallel lists by node; node 0 is the root."""
 
     def __init__(self, html: str):
         self.tags, self.parents, self.dropped, self.items = ["#root"], [-1], [False], []
-        stack, end, position = [0], len(html), 0
+        # the open nodes, where each tag and the blocks among them stand, and how many of them are articles
+        self.stack, self.places, self.blocks, self.articles = [0], {}, [], 0
+        end, position = len(html), 0
         while position < end:
             found = _TOKEN.search(html, position)
             text = html[position : found.start() if found else end]
             if text:
-                self.items.append((stack[-1], text))
+                self.items.append((self.stack[-1], text))
             if not found:
                 break
             position = found.end()
@@ -60,59 +78,62 @@ class Page:
                 continue
             tag = tag.lower()
             if found[1]:
-                self._close(stack, tag)
+                self._close(tag)
                 continue
-            node = self._open(stack, tag, found[3])
+            node = self._open(tag, found[3])
             if tag in RAW:
                 close = re.compile(f"</{tag}[^>]*(?:>|\\Z)", re.I).search(html, position)
                 position = close.end() if close else end  # nothing inside is main text
             elif tag not in VOID and not found[3].endswith("/"):
-                stack.append(node)
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] == tag:
+                self.places.setdefault(tag, []).append(len(self.stack))
                 if tag in BLOCKS:
-                    self.items.append((stack[k], None))
-                del stack[k:]
-                return
-            if tag not in BLOCKS and self.tags[stack[k]] in BLOCKS:
-                return  # a stray end of an inline element
-        if tag == "p":
-            self.items.append((stack[-1], None))
-
-    def _open(self, stack: list[int], tag: str, attributes: str) -> int:
-        if tag in _P_ENDERS:
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = self.tags[stack[k]]
-                if open_tag == "p":
-                    del stack[k:]
-                    break
-                if open_tag in BLOCKS or open_tag == "button":
-                    break
+                    self.blocks.append(len(self.stack))
+                self.articles += tag in HOMES
+                self.stack.append(node)
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element with one of these tags stands; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.tags[self.stack.pop()]
+            self.places[tag].pop()
+            self.articles -= tag in HOMES
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def _close(self, tag: str) -> None:
+        at = self._last((tag,))
+        if at and tag in BLOCKS:
+            self.items.append((self.stack[at], None))
+            self._cut(at)
+        elif at and (not self.blocks or self.blocks[-1] < at):  # else a stray end of an inline element
+            self._cut(at)
+        elif tag == "p":
+            self.items.append((self.stack[-1], None))
+
+    def _open(self, tag: str, attributes: str) -> int:
+        if tag in _P_ENDERS and self.blocks and self.tags[self.stack[self.blocks[-1]]] == "p" and self._last(("button",)) < self.blocks[-1]:
+            self._cut(self.blocks[-1])
         if tag in _CLOSES:
-            ended, limit = _CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = self.tags[stack[k]]
-                if open_tag in ended:
-                    del stack[k:]
-                    break
-                if open_tag in limit:
-                    break
+            ended, limit = (self._last(tags) for tags in _CLOSES[tag])
+            if ended > limit:
+                self._cut(ended)
         node = len(self.tags)
         self.tags.append(tag)
-        self.parents.append(stack[-1])
-        self.dropped.append(self._boilerplate(tag, attributes, stack))
+        self.parents.append(self.stack[-1])
+        self.dropped.append(self._boilerplate(tag, attributes))
         if tag in BLOCKS:
             self.items.append((node, None))
         elif tag == "br":
-            self.items.append((stack[-1], " "))
+            self.items.append((self.stack[-1], " "))
         return node
 
-    def _boilerplate(self, tag: str, attributes: str, stack: list[int]) -> bool:
+    def _boilerplate(self, tag: str, attributes: str) -> bool:
         if tag in DROPPED:
             return True
-        if tag == "header" and not any(self.tags[n] in ("article", "main") for n in stack):
+        if tag == "header" and not self.articles:
             return True
         if not attributes or tag in ("html", "body", "main"):
             return False
@@ -121,16 +142,19 @@ class Page:
             return True
         if "display:none" in values.get("style", "").lower().replace(" ", ""):
             return True
-        words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
+        if tag in TEXTS and self.articles:
+            return False
+        names = NAMES
         if tag == "article":
-            return bool(words & ARTICLE_NAMES)
-        inside = any(self.tags[n] in ("article", "main") for n in stack)
-        return bool(words & (NAMES - HEADING_NAMES if inside else NAMES))
+            names = ARTICLE_NAMES
+        elif self.articles:
+            names = NAMES - HEADING_NAMES
+        return any(_names(word, names) for word in f"{values.get('class', '')} {values.get('id', '')}".split())
 
     def main_text(self) -> str:
         """The text of the content subtrees, blocks joined by line ends."""
         n = len(self.tags)
-        holds = [t in ("article", "main") for t in self.tags]
+        holds = [t in HOMES for t in self.tags]
         for i in range(n - 1, 0, -1):
             if holds[i] and not self.dropped[i]:
                 holds[self.parents[i]] = True
@@ -156,6 +180,8 @@ class Page:
                 link_chars[p] += link_chars[i]
                 tags[p] += tags[i] + 1
                 link_tags[p] += link_tags[i] + (self.tags[i] == "a")
+        if not chars[0]:
+            return ""
         body = next((i for i in range(n) if self.tags[i] == "body"), 0)
         share = link_chars[body] / max(1, chars[body])
         density, sums, leaf = [0.0] * n, [0.0] * n, [True] * n
@@ -171,29 +197,28 @@ class Page:
                 if leaf[p]:
                     leaf[p], sums[p] = False, 0.0
                 sums[p] += density[i]
-        if not chars[0]:
-            return ""
         best = max(range(n), key=lambda i: (sums[i] if chars[i] and not out[i] else -1.0, chars[i], -i))
         path, node = [], best
         while node >= 0:
             path.append(node)
             node = self.parents[node] if node != body else -1
         threshold = min(density[i] for i in path)
-        home = next((i for i in reversed(path) if self.tags[i] in ("article", "main")), None)
-        content = [False] * n
-        if home is not None:  # the page says where its article is
-            content[home] = True
-        else:
-            inside = [(sums[i], i) for i in range(n)]  # the greatest sum at or below each node
-            for i in range(n - 1, 0, -1):
-                if not out[i]:
-                    inside[self.parents[i]] = max(inside[self.parents[i]], inside[i])
-            content[best] = True
-            for i in range(n):
-                if not out[i] and chars[i] and density[i] >= threshold:
-                    content[inside[i][1]] = True
+        content, above = [False] * n, set(path)
+        content[next((i for i in reversed(path) if self.tags[i] in HOMES), best)] = True
+        inside = [(sums[i], i) for i in range(n)]  # the greatest sum at or below each node
+        for i in range(n - 1, 0, -1):
+            if not out[i]:
+                inside[self.parents[i]] = max(inside[self.parents[i]], inside[i])
+        for i in range(n):
+            if out[i] or not chars[i] or i in above:
+                continue
+            if density[i] >= threshold:
+                content[inside[i][1]] = True
+            elif self.tags[i] in BESIDE and self.parents[i] in above and 2 * link_chars[i] <= chars[i] and (self.parents[i] != body or (self.tags[i] == "h1" and i < best)):
+                content[i] = True
         for i in range(1, n):
-            content[i] = (content[i] or content[self.parents[i]]) and not out[i]
+            menu = self.tags[i] in BLOCKS and link_tags[i] > 1 and 2 * link_chars[i] > chars[i] and density[i] < threshold and i not in above
+            content[i] = (content[i] or content[self.parents[i]]) and not out[i] and not menu
         return self._joined(content)
 
     def _joined(self, content: list[bool]) -> str:

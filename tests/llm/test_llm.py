@@ -648,6 +648,47 @@ def test_pages(spark):
     assert [r.text for r in got if r.page_id == 99] == ["deep"]
 
 
+_TEXT = " ".join(f"Sentence {k} of a text that tells something at some length, with a comma and a stop." for k in range(4))
+_LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Section {k}</a></li>" for k in range(30)) + "</ul>"
+
+
+@pytest.mark.parametrize("home", ["article", "div", "section", "main"])
+def test_densities_decide_what_is_text(home):
+    """A list of links beside a text goes, in an article and outside one; short paragraphs and single links stay."""
+    page = lambda inner: html_density.main_text(f"<html><body>{inner}</body></html>")
+    text = f"Title\n{_TEXT}\nShort.\nSee this.\n{_TEXT}"
+    own = f"<h1>Title</h1><p>{_TEXT}</p><p>Short.</p><p><a href=x>See this.</a></p>"
+    assert page(f"<{home}>{own}{_LINKS}<p>{_TEXT}</p></{home}>") == text
+    assert page(f"<{home}>{own}<p>{_TEXT}</p></{home}><div>{_LINKS}</div>") == text
+    assert page(f"<div>{_LINKS}</div><{home}><h1>Title</h1><div><p>{_TEXT}</p><p>Short.</p></div></{home}>") == f"Title\n{_TEXT}\nShort."
+    # links within sentences are text
+    wiki = f"<p>{' '.join(f'<a href=/{k}>Link {k}</a> stands in a sentence that is longer than its link.' for k in range(9))}</p>"
+    assert page(f"<{home}><p>{_TEXT}</p>{wiki}</{home}>").count("stands") == 9
+
+
+def test_sibling_articles_reach_the_threshold():
+    found = html_density.main_text(f"<body><article><p>{_TEXT}</p><p>{_TEXT}</p></article><article><p>{_TEXT}</p><p>{_TEXT}</p></article><div>{_LINKS}</div></body>")
+    assert found == "\n".join([_TEXT] * 4)
+
+
+def test_names_as_a_whole():
+    kept = [("section", 'id="related-work"'), ("div", 'id="search-methods"'), ("h2", 'id="social-history"'), ("p", 'class="notice-period"'), ("h2", 'class="header"'), ("p", 'class="comment"')]
+    gone = [("div", 'class="ad"'), ("div", 'class="ad-slot"'), ("section", 'class="related-posts"'), ("div", 'id="cookieNotice"'), ("ul", 'class="share-buttons"'), ("div", 'class="post-comments"')]
+    for tag, name in kept:
+        assert html_density.main_text(f"<article><p>{_TEXT}</p><{tag} {name}>Kept words.</{tag}></article>") == f"{_TEXT}\nKept words."
+    for tag, name in gone:
+        assert html_density.main_text(f"<article><p>{_TEXT}</p><{tag} {name}>Gone words.</{tag}></article>") == _TEXT
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in ("<p>" + "<div>" * 80_000 + "deep", "<article>" + "<div class=x>" * 80_000 + "deep", "<span>" * 40_000 + "<p>" * 40_000 + "deep", "<b>" * 80_000 + "</i>" * 80_000 + "deep", "<ul><li>" * 20_000 + "<div>" * 20_000 + "<li>" * 20_000 + "deep", "<div>" * 40_000 + "deep" + "</nav>" * 80_000):
+        start = time.time()
+        assert html_density.main_text(page) == "deep"
+        assert time.time() - start < 4
+
+
 def test_given_pages(spark):
     from html import unescape
 
