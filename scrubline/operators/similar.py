@@ -103,7 +103,7 @@ def meetings(texts: DataFrame, width: int, share: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "pos"])
 
     def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
+        for table in groups(batches):
             key = table[0]
             new = np.r_[True, key[1:] != key[:-1]]
             group = np.cumsum(new) - 1
@@ -117,7 +117,7 @@ def meetings(texts: DataFrame, width: int, share: float) -> DataFrame:
     return checkpoint(dealt.mapInArrow(met, "key long, id long, n long, pos long, hub long"))
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Rows sorted by their first column, as arrays that hold whole groups of it."""
     held: list[list[np.ndarray]] = []
     for b in batches:
@@ -146,7 +146,7 @@ def candidates(rows: DataFrame, share: float, jaccard: bool) -> DataFrame:
             both = np.unique(np.concatenate(out or [np.empty((0, 2), np.int64)]), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in (0, 1)], ["a", "b"])
 
-        for key, ids, n, pos, part in _groups(batches):
+        for key, ids, n, pos, part in groups(batches):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for low, high in zip(starts, np.r_[starts[1:], len(key)], strict=True):
                 for i in range(low, high - 1):
