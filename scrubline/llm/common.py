@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import checkpoint, own_folder, remove_folder
 
-__all__ = ["checkpoint", "own_folder", "remove_folder", "small_enough", "text_of"]
+__all__ = ["checkpoint", "own_folder", "remove_folder", "small_enough", "text_of", "unused"]
 
 
 def text_of(column: str) -> Column:
@@ -18,3 +18,11 @@ def text_of(column: str) -> Column:
 def small_enough(rows: int, limit: int) -> bool:
     """Whether a measured row count is within a broadcast bound."""
     return rows <= limit
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, or that with underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

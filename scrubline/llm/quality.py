@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_enough, text_of
+from .common import checkpoint, small_enough, text_of, unused
 
 #: Labelled documents that the heads are fitted on, at most.
 SAMPLE = 20_000
-#: Words kept as features: in at least so many sampled documents, with at least this chi-square, the strongest first.
+#: Defaults of ``fit``: words kept as features are in at least so many sampled documents, with at least this chi-square, the strongest first.
 LEAST_DOCS, LEAST_CHI, MOST_WORDS = 8, 60.0, 1024
 PREFIXES = (4, 5, 6, 7)
 #: Words counted at once in a task's memory.
@@ -148,8 +148,9 @@ def _chi(n: Column, both: Column, docs: int, positive: int) -> Column:
     return F.when(F.lit(0 < positive < docs), (both - expected) ** 2 / expected / ((1 - n / docs) * (1 - positive / docs) + 1e-9)).otherwise(F.lit(0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Heads:
-    """Fit both heads on at most ``sample`` labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_docs: int = LEAST_DOCS, least_chi: float = LEAST_CHI, most_words: int = MOST_WORDS) -> Heads:
+    """Fit both heads on at most ``sample`` labelled documents, with the ``most_words`` words of the greatest chi-square among those
+    of at least ``least_chi`` that at least ``least_docs`` sampled documents have.
 
     Repeated labels of a document count once (the worst of them); rows with a null id or a null label
     are not used. Without usable labels the heads are empty and no document is rejected.
@@ -165,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Heads(bias=(-5.0, -5.0))
     words = texts.mapInArrow(_counted, "word string, n long, low long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic"))
     strength = F.greatest(_chi(F.col("n"), F.col("low"), total["n"], total["low"]), _chi(F.col("n"), F.col("toxic"), total["n"], total["toxic"]))
-    words = words.where((F.col("n") >= LEAST_DOCS) & (F.col("word") != "")).withColumn("strength", strength).where(F.col("strength") >= LEAST_CHI)
-    chosen = [r["word"] for r in words.orderBy(F.desc("strength"), "word").limit(MOST_WORDS).collect()]
+    words = words.where((F.col("n") >= least_docs) & (F.col("word") != "")).withColumn("strength", strength).where(F.col("strength") >= least_chi)
+    chosen = [r["word"] for r in words.orderBy(F.desc("strength"), "word").limit(most_words).collect()]
     names = [*chosen, *(f"={m}:{k}" for m, steps in STEPS.items() for k in range(len(steps)))]
     place = {f: k for k, f in enumerate(names)}
 
@@ -225,15 +226,17 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return both.select("host", "path", "host_share", "path_share", (_logit(F.col("path_share")) - _logit(F.lit(share))).alias("shift"))
 
 
-def _sites(docs: DataFrame, heads: Heads, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    rows = docs.select(F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), badness_column(text_of(text_col), heads).alias("bad"))
-    return checkpoint(site_posteriors(rows))
-
-
-def _at_sites(rows: DataFrame, sites: DataFrame, host: Column, path: Column) -> DataFrame:
-    named = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("host_share").alias("__host_share"), F.col("path_share").alias("__path_share"), F.col("shift").alias("__shift"))
+def _posterior(rows: DataFrame, host: str, path: str, bad: str) -> tuple[DataFrame, dict[str, str]]:
+    """``rows``, written, with what their site tells about them, and the names of the new columns ``host_share``, ``path_share`` and
+    ``posterior``."""
+    rows = checkpoint(rows)
+    sites = checkpoint(site_posteriors(rows.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(bad).alias("bad"))))
+    names = {c: unused(rows, c) for c in ("site_host", "site_path", "host_share", "path_share", "shift", "posterior")}
+    named = sites.select(*(F.col(c).alias(names[n]) for c, n in (("host", "site_host"), ("path", "site_path"), ("host_share", "host_share"), ("path_share", "path_share"), ("shift", "shift"))))
     side = F.broadcast(named) if small_enough(sites.count(), BROADCAST_SITES) else named
-    return rows.join(side, host.cast("string").eqNullSafe(side["__host"]) & path.cast("string").eqNullSafe(side["__path"]), "left")
+    same = rows[host].cast("string").eqNullSafe(side[names["site_host"]]) & rows[path].cast("string").eqNullSafe(side[names["site_path"]])
+    found = rows.join(side, same, "left")
+    return found.withColumn(names["posterior"], 1 / (1 + F.exp(-(_logit(F.col(bad)) + F.col(names["shift"]))))), names
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
@@ -246,17 +249,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     heads = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), badness_column(text_of(text_col), heads).alias("bad"))
-    rows = checkpoint(rows)
-    found = _at_sites(rows, checkpoint(site_posteriors(rows)), F.col("host"), F.col("path"))
-    posterior = 1 / (1 + F.exp(-(_logit(F.col("bad")) + F.col("__shift"))))
-    return found.select("doc_id", F.col("bad").alias("evidence"), F.col("__host_share").alias("host_share"), F.col("__path_share").alias("path_share"), posterior.alias("posterior"), (posterior < 0.5).alias("kept"))
+    found, _ = _posterior(rows, "host", "path", "bad")
+    return found.select("doc_id", F.col("bad").alias("evidence"), "host_share", "path_share", "posterior", (F.col("posterior") < 0.5).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that :func:`classify` rejects; all columns stay. Texts are scored where
-    they are read, once for the sites and once for the decision, so no text is shuffled."""
+    """``docs`` without the rows that :func:`classify` rejects; all columns stay. Texts are scored once and written with their
+    scores, so no text is shuffled."""
     heads = fit(docs, labels, id_col, text_col)
-    sites = _sites(docs, heads, text_col, host_col, path_col)
-    rows = docs.withColumn("__bad", badness_column(text_of(text_col), heads))
-    found = _at_sites(rows, sites, F.col(host_col), F.col(path_col))
-    return found.where(_logit(F.col("__bad")) + F.col("__shift") < 0).select(*docs.columns)
+    bad = unused(docs, "bad")
+    found, names = _posterior(docs.withColumn(bad, badness_column(text_of(text_col), heads)), host_col, path_col, bad)
+    return found.where(F.col(names["posterior"]) < 0.5).select(*docs.columns)

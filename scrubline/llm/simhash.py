@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import similar
 from ..operators.graph import components
-from .common import checkpoint
+from .common import checkpoint, small_enough, unused
 
 HOT, LEVELS = 4096, 4
 
@@ -192,18 +192,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Jaccard similarity of word-shingle sets from which documents are near-duplicates.
 SIMILAR = 0.8
+#: Bits by which the first half of two fingerprints may differ for the trie to link them, at once whatever their size.
+TRIE_BITS = 3
+#: Sets of at least ``LEAST`` shingles whose 128 bits differ by more than ``BUDGET`` are not compared. A bit differs with a probability
+#: of acos(0.889) / pi = 0.15 at a similarity of 0.8, so 46 of 128 are more than six standard deviations off.
+LEAST, BUDGET = 64, 46
 #: Texts that are sent to every worker by their hashes alone when their shingles are wanted.
 BROADCAST = 500_000
 
 
-def set_column(text: Column, width: int) -> Column:
-    """A hash of a text's set of distinct shingles, computed in Arrow batches."""
+def wide_fingerprint(items: np.ndarray) -> tuple[int, int]:
+    """A set of shingles as 128 bits, in two signed halves: the bits that more than half of the shingles' hashes have."""
+    votes = np.zeros(128, np.int64)
+    for k in range(0, len(items), 65536):
+        own = items[k : k + 65536]
+        both = np.stack([own, (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)], 1)
+        votes += np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    a, b = np.packbits(votes * 2 > len(items), bitorder="little").view("<i8")
+    return int(a), int(b)
 
-    @F.arrow_udf("long")
-    def udf(texts: pa.Array) -> pa.Array:
-        return pa.array([similar.set_id(similar.shingles(t.as_py(), width)) for t in texts], pa.int64())
 
-    return udf(text)
+def _described(width: int, keys: np.ndarray, counts: np.ndarray):
+    """Each document's set of shingles: its name, size, fingerprint and, rare ones first, those of its prefix."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                found = [similar.shingles(t, width) for t in part.column("text").to_pylist()]
+                prints = [wide_fingerprint(x) for x in found]
+                first = [similar.rare_first(x, keys, counts)[: similar.prefix_length(len(x), SIMILAR)].tobytes() for x in found]
+                columns = [pa.array([similar.set_id(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("own"), part.column("hash"), *columns], ["own", "hash", "id", "n", "high", "low", "first"])
+
+    return rows
+
+
+def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            parts = [np.frombuffer(x, np.int64) for x in b.column("first").slice(at, 256).to_pylist()]
+            sizes = [len(x) for x in parts]
+            of = lambda c: np.repeat(b.column(c).slice(at, 256).to_numpy(), sizes)  # noqa: B023, E731
+            columns = [np.concatenate(parts), of("id"), of("n").astype(np.int32), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "pos"])
+
+
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys that more than one set has, with the set that has the key foremost."""
+    for key, *rest in similar.groups(batches):
+        new = np.r_[True, key[1:] != key[:-1]]
+        group = np.cumsum(new) - 1
+        many = np.bincount(group)[group] > 1
+        hub = rest[0][np.flatnonzero(new)][group]  # rows of a key come by position
+        yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (key, *rest, hub)], ["key", "id", "n", "pos", "hub"])
+
+
+def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets of different parts under a key whose sizes, positions and fingerprints allow ``SIMILAR``."""
+    out: list[np.ndarray] = []
+    waiting = 0
+
+    def batch() -> pa.RecordBatch:
+        both = np.unique(np.concatenate(out or [np.empty((0, 2), np.int64)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in (0, 1)], ["a", "b"])
+
+    for key, ids, n, pos, part, high, low in similar.groups(batches):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for start, end in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+            if (part[start:end] == part[start]).all():
+                continue
+            for i in range(start, end - 1):
+                j = slice(i + 1, end)
+                # what precedes the first shingle that both have is not shared
+                good = (part[j] != part[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= SIMILAR / (1 + SIMILAR) * (n[i] + n[j]) - 1e-9)
+                at = np.flatnonzero(good) + i + 1
+                if len(at):
+                    apart = np.bitwise_count(high[at] ^ high[i]).astype(np.int64) + np.bitwise_count(low[at] ^ low[i])
+                    at = at[(apart <= BUDGET) | (np.minimum(n[at], n[i]) < LEAST)]
+                if len(at):
+                    out.append(np.stack([np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])], 1))
+                    waiting += len(at)
+                    if waiting > 200_000:
+                        yield batch()
+                        out, waiting = [], 0
+    yield batch()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -> DataFrame:
@@ -212,7 +285,7 @@ def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -
     pairs = checkpoint(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = checkpoint(names.join(ids, "id", "left_semi"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    side = F.broadcast(wanted) if small_enough(wanted.count(), BROADCAST) else wanted
 
     @F.arrow_udf("binary")
     def items(found: pa.Array) -> pa.Array:
@@ -232,19 +305,33 @@ def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -
     return rows.where(near("x", "y")).select("a", "b")
 
 
-def similar_classes(texts: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """``(id, component)`` for the shingle sets of ``texts(hash, text)`` that have a similar one.
+def similar_classes(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``(id, component)`` for the ``sets(id, hash, n, high, low, first)`` that have a similar one.
 
-    Each set is first compared with one that it meets most often, so that most of a large group is joined by as many
-    comparisons as it has members; then all candidates from different components are compared.
+    Candidates are the links of the trie over the fingerprints' first halves, equal ones, and for every set the one that it meets
+    most often under the shingles of its prefix. Verified, they join most of each large group by about as many comparisons as it
+    has members. Then all sets that meet, are in different components and whose fingerprints are within the budget are compared.
     """
-    met = similar.meetings(texts.select("text"), width, SIMILAR)
-    most = met.where("id <> hub").groupBy("id").agg(F.mode("hub", True).alias("hub"))
-    edges = checkpoint(verified(most.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), texts, names, width))
+    value = F.col("high").alias("value")
+    first = checkpoint(sets.groupBy("high").agg(F.min("id").alias("id")))
+    close = links(first.select(value), TRIE_BITS)
+    a, b = (first.select(F.col("high").alias(x), F.col("id").alias(f"{x}_id")) for x in "ab")
+    edges = close.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    equal = sets.join(first.withColumnRenamed("id", "least"), "high").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    spread = sets.mapInArrow(_spread, "key long, id long, n int, pos int")
+    met = checkpoint(spread.repartition("key").sortWithinPartitions("key", "pos", "id").mapInArrow(_met, "key long, id long, n int, pos int, hub long"))
+    prints = sets.select("id", "n", "high", "low")
+    other = prints.select(*(F.col(c).alias(f"hub_{c}" if c != "id" else "hub") for c in prints.columns))
+    often = met.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times")).join(prints, "id").join(other, "hub")
+    apart = F.bit_count(F.col("high").bitwiseXOR(F.col("hub_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("hub_low")))
+    few, many = F.least("n", "hub_n"), F.greatest("n", "hub_n")
+    often = often.where((few >= SIMILAR * many - 1e-9) & ((apart <= BUDGET) | (few < LEAST)))
+    most = often.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    edges = checkpoint(verified(edges.unionAll(equal).unionAll(most).distinct(), texts, sets.select("id", "hash"), width))
     parts = components(edges).withColumnRenamed("node", "id")
-    rows = met.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
-    more = verified(similar.candidates(rows, SIMILAR, True), texts, names, width)
-    return components(edges.unionAll(more)).withColumnRenamed("node", "id")
+    rows = met.drop("hub").join(prints.drop("n"), "id").join(parts, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("part"), "high", "low")
+    more = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs, "a long, b long").distinct()
+    return components(edges.unionAll(verified(more, texts, sets.select("id", "hash"), width))).withColumnRenamed("node", "id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -252,24 +339,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     of ``SIMILAR`` or more; all columns stay. Kept is the row with the smallest id (null last), then the smallest
     text hash; equal repeated rows of it are one row. Null and empty texts are one group."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    prints = checkpoint(docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), set_column(text, width).alias("id")))
-    best = F.min(F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))).alias("best")
-    values = checkpoint(prints.groupBy("id").agg(best))
     texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
-    named = values.join(similar_classes(texts, values.select("id", F.col("best.hash").alias("hash")), width), "id", "left")
+    common = similar.common_shingles(texts.select("text"), width)
+    kind = docs.schema[id_col].dataType.simpleString()
+    described = docs.select(F.col(id_col).alias("own"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_described(width, *common), f"own {kind}, hash long, id long, n long, high long, low long, first binary")
+    prints = checkpoint(described)
+    best = F.min(F.struct(F.col("own").isNull().alias("no_id"), F.col("own").alias("id"), F.col("hash").alias("hash"))).alias("best")
+    sets = checkpoint(prints.groupBy("id").agg(best, *(F.first(c).alias(c) for c in ("n", "high", "low", "first"))))
+    classes_of = similar_classes(sets.withColumn("hash", F.col("best.hash")), texts, width)
+    named = sets.select("id", "best").join(classes_of, "id", "left")
     kept = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best"))
-    kept = kept.select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash"))
-    kept = checkpoint(kept)
-    copies = prints.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = kept.alias("k").join(copies.alias("c"), F.col("k.__id").eqNullSafe(F.col("c.__id")) & (F.col("k.__hash") == F.col("c.__hash")), "left_semi")
+    kept_id, kept_hash, own_hash = unused(docs, "kept_id"), unused(docs, "kept_hash"), unused(docs, "text_hash")
+    kept = checkpoint(kept.select(F.col("best.id").alias(kept_id), F.col("best.hash").alias(kept_hash)))
+    copies = prints.groupBy(F.col("own").alias(kept_id), F.col("hash").alias(kept_hash)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = lambda a, b: F.col(f"{a}.{kept_id}").eqNullSafe(F.col(f"{b}.{kept_id}")) & (F.col(f"{a}.{kept_hash}") == F.col(f"{b}.{kept_hash}"))
+    repeated = checkpoint(kept.alias("k").join(copies.alias("c"), same("k", "c"), "left_semi"))
 
     def matching(side: DataFrame) -> DataFrame:
-        rows = docs.withColumn("__own", F.xxhash64(text))
-        return rows.join(side, rows[id_col].eqNullSafe(side["__id"]) & (rows["__own"] == side["__hash"]), "left_semi")
+        rows = docs.withColumn(own_hash, F.xxhash64(text))
+        return rows.join(side, rows[id_col].eqNullSafe(side[kept_id]) & (rows[own_hash] == side[kept_hash]), "left_semi")
 
     if repeated.isEmpty():
-        return matching(kept).drop("__own")
+        return matching(kept).drop(own_hash)
     # equal rows are reduced where they are read, so their number doesn't matter
-    repeated = checkpoint(repeated)
-    others = kept.alias("k").join(repeated.alias("r"), F.col("k.__id").eqNullSafe(F.col("r.__id")) & (F.col("k.__hash") == F.col("r.__hash")), "left_anti")
-    return matching(others).unionAll(matching(repeated).dropDuplicates([id_col, "__own"])).drop("__own")
+    others = kept.alias("k").join(repeated.alias("r"), same("k", "r"), "left_anti")
+    return matching(others).unionAll(matching(repeated).dropDuplicates([id_col, own_hash])).drop(own_hash)

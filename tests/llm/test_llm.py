@@ -735,10 +735,72 @@ def test_quality(spark, odd):
     assert quality.classify(strange.limit(0), marks).count() == 0 and quality.keep_good(strange, marks.limit(0)).count() == len(ODD)
 
 
+def brute_sites(rows):
+    """Shares of hosts and paths shrunk by moments, in plain Python."""
+    groups = lambda key: {k: [b for h, p, b in rows if key(h, p) == k] for k in {key(h, p) for h, p, _ in rows}}
+
+    def strength(found):  # of (number, share, prior)
+        n = sum(x[0] for x in found)
+        s = sum(x[0] * (x[1] - x[2]) ** 2 for x in found)
+        chance = sum(x[2] * (1 - x[2]) for x in found)
+        spread = (s - chance) / max(n - sum(x[0] ** 2 for x in found) / n, 1e-9)
+        typical = sum(x[0] * x[2] * (1 - x[2]) for x in found) / n
+        return min(1e6, max(1.0, typical / spread - 1)) if spread > 0 else 1e6
+
+    share = sum(b for *_, b in rows) / len(rows)
+    hosts = groups(lambda h, p: h)
+    k = strength([(len(b), sum(b) / len(b), share) for b in hosts.values()])
+    host_share = {h: (sum(b) + k * share) / (len(b) + k) for h, b in hosts.items()}
+    paths = groups(lambda h, p: (h, p))
+    k = strength([(len(b), sum(b) / len(b), host_share[h]) for (h, _), b in paths.items()])
+    logit = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+    out = {}
+    for (h, p), b in paths.items():
+        own = (sum(b) + k * host_share[h]) / (len(b) + k)
+        out[h, p] = (host_share[h], own, logit(own) - logit(share))
+    return out
+
+
+def test_site_shares_equal_brute_force(spark):
+    random.seed(12)
+    hot = [("a", f"p{i % 3}", float(random.random() < 0.7)) for i in range(300)]
+    cold = [(f"h{random.randrange(30)}", random.choice(("x", "y", None)), float(random.random() < 0.15)) for _ in range(250)]
+    for rows in (hot + cold + [(None, None, 0.25), (None, "x", 0.5), ("single", "x", 1.0)], [("a", "x", 0.5)] * 4):
+        frame = spark.createDataFrame(rows, "host string, path string, bad double")
+        got = {(r.host, r.path): (r.host_share, r.path_share, r.shift) for r in quality.site_posteriors(frame).collect()}
+        expected = brute_sites(rows)
+        assert got.keys() == expected.keys()
+        for k, values in expected.items():
+            assert got[k] == pytest.approx(values, rel=1e-9, abs=1e-9)
+    assert quality.site_posteriors(frame.limit(0)).count() == 0
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("a", "x", 1.0)] * 80 + [("a", "x", 0.0)] * 20 + [("b", "x", 0.0)] * 100 + [("c", "x", 1.0), (None, None, 0.0)]
     got = {r.host: (r.host_share, r.path_share) for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, bad double")).collect()}
-    assert got["a"][0] > 0.7 and got["b"][0] < 0.1 and got["b"][0] < got["c"][0] < 1.0 and abs(got["c"][0] - 81 / 202) < 0.45 and None in got
+    assert got["a"][0] > 0.7 and got["b"][0] < 0.1 and got["b"][0] < got["c"][0] < 1.0 and None in got
+
+
+def test_posteriors_follow_from_evidence_and_site(spark, documents):
+    """The query's columns by brute force: site shares from all rows' evidence, posterior from both."""
+    got = quality.classify(documents, spark.read.parquet(f"{DATA}/labels.parquet")).collect()
+    by_id = {r.doc_id: (r.source, r.lang) for r in documents.collect()}
+    sites = brute_sites([(*by_id[r.doc_id], r.evidence) for r in got])
+    for r in got:
+        host, path, shift = sites[by_id[r.doc_id]]
+        p = min(1 - 1e-6, max(1e-6, r.evidence))
+        assert (r.host_share, r.path_share) == pytest.approx((host, path), rel=1e-6)
+        assert r.posterior == pytest.approx(1 / (1 + math.exp(-(math.log(p / (1 - p)) + shift))), rel=1e-5) and r.kept == (r.posterior < 0.5)
+
+
+def test_columns_named_like_the_operators_own(spark, documents):
+    """Columns of the documents that bear names the stages use come back unchanged."""
+    names = ("bad", "posterior", "site_host", "shift", "own_hash", "kept_id", "hash", "text_hash", "tokens")
+    docs = documents.select("*", *(F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, DATA)
+        assert left.columns == docs.columns, name
+        assert left.where(" or ".join(f"{n} <> concat('{n}-', doc_id)" for n in names)).count() == 0, name
 
 
 # pipeline
