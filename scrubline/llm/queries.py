@@ -25,7 +25,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as written to sorted string tables and read back: start, token count and checksum of each."""
     folder = own_folder(spark, "token-table")
-    token_table.write_tables(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    token_table.write_tables(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, manifest=False)
     entries = checkpoint(token_table.read_tables(spark, folder))
     remove_folder(spark, folder)
     return token_table.starts(entries)

@@ -161,8 +161,28 @@ def test_token_tables_round_trip(spark, odd, tmp_path):
     for i, t in ODD:
         ids = [*tool.encode(t or "", add_special_tokens=False).ids, 2]
         assert (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))) in by_id[i]
-    shards = [token_table.Shard(bytes(r.content)) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).collect()]
-    assert len(shards) > 1 and len([1 for s in shards for _ in s.lookup(1)]) == 2 and not any(s.lookup(99) for s in shards) and len([1 for s in shards for _ in s.lookup(None)]) == 2
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder + "/shards").collect()
+    shards = [token_table.Shard(data) for r in files for _, data in token_table.shards_in(bytes(r.content))]
+    assert len(shards) > len(files) and len([1 for s in shards for _ in s.lookup(1)]) == 2 and not any(s.lookup(99) for s in shards) and len([1 for s in shards for _ in s.lookup(None)]) == 2
+
+
+def test_table_lookup_by_manifest(spark, tmp_path):
+    tool, folder = Tokenizer.from_file(BYTES), str(tmp_path / "t")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    token_table.write_tables(docs, folder, BYTES, 2, shard_bytes=60_000, partition_bytes=200_000)
+    manifest = spark.read.parquet(folder + "/manifest")
+    assert manifest.select("file").distinct().count() > 1 and manifest.count() > manifest.select("file").distinct().count()
+    table = token_table.Table(spark, folder)
+    rows = docs.collect()
+    for r in rows[::25]:
+        assert [x.tolist() for x in table.lookup(r.doc_id)] == [[*tool.encode(r.text or "", add_special_tokens=False).ids, 2]]
+    assert table.lookup(-5) == [] and table.lookup(None) == [] and table.lookup(10**12) == []
+
+
+def test_ids_that_do_not_fit(spark, odd, tmp_path):
+    for end, width in ((70_000, 2), (2, 3), (-1, 4)):
+        with pytest.raises(ValueError):
+            token_table.write_tables(odd, str(tmp_path / "w"), BYTES, end, width=width)
 
 
 def test_shard_lookup_over_many_blocks():
