@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubline.llm import decontaminate, prefix_bpe, quality, simhash
-from scrubline.llm.common import own_folder
+from scrubline.llm.common import own_folder, remove_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """All stages over ``documents``; each stage's result is written and read again by the next, then removed. The last one's is left
+    in the shared folder, since the returned rows are read from it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
         folder = own_folder(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove_folder(spark, before)
+        before = folder
+    return docs
