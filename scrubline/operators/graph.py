@@ -16,10 +16,11 @@ def components(edges: DataFrame) -> DataFrame:
     path. Self-loops and repeated edges change nothing; an empty table gives no rows.
     """
     low = F.least("a", "b").alias("a")
-    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("b"), low).distinct())
+    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("b"), low).distinct(), narrow=True)
     before = None
     while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)"))).first())
+        hashed = F.xxhash64("a", "b").cast("decimal(38,0)")
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(hashed)).first())  # of the set of edges
         if mark == before or not mark[0]:
             break
         before = mark
@@ -31,5 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         moved = small.where("a <> m").select(F.col("a").alias("b"), F.col("m").alias("a"))
-        now = checkpoint(moved.unionAll(least.select("b", F.col("m").alias("a"))).distinct())
+        now = checkpoint(moved.unionAll(least.select("b", F.col("m").alias("a"))).distinct(), narrow=True)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

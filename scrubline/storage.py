@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,19 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one set on the context. A temporary folder of this
+    machine serves only a session that runs in one process on it; on a cluster the setting is required."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        folder = os.path.join(tempfile.gettempdir(), "scrubline-checkpoints")
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "scrubline-checkpoints")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared folder, so a lost executor loses nothing."""
+def checkpoint(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Cut the lineage: rows go to the shared folder, so a lost executor loses nothing. A ``narrow`` table, of few bytes a row, is
+    written in as many files as the session has cores, however many partitions it was shuffled to."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(max(1, context.defaultParallelism)) if narrow else df).checkpoint(eager=True)
 
 
 def own_folder(spark: SparkSession, name: str) -> str:
