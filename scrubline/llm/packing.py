@@ -198,15 +198,15 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
         F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("key"),
         F.monotonically_increasing_id().alias("row"),  # spreads rows that are equal in all else
     )
-    base = checkpoint(base)  # one pass over the texts; what follows moves about 60 bytes a document
-    groups = checkpoint(base.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+    base = checkpoint(base, narrow=True)  # one pass over the texts; what follows moves about 60 bytes a document
+    groups = checkpoint(base.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), narrow=True)
     histogram = [tuple(r) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]  # distinct sizes
     placed = (pack_into(histogram, shards) if shards else best_fit_decreasing(histogram, capacity)) if histogram else []
     ranges = spark.createDataFrame(placed, "in_size long, first long, end long, shard int")
     side = F.broadcast(ranges) if small_enough(len(placed), BROADCAST_RANGES) else ranges
     ranked = _numbered(groups, "bytes", ["key"], "key")
     homes = ranked.join(side, (F.col("bytes") == F.col("in_size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    homes = checkpoint(homes.select("key", "shard", "rows"))
+    homes = checkpoint(homes.select("key", "shard", "rows"), narrow=True)
     n_rows = homes.agg(F.sum("rows")).first()[0] or 0
     hot = F.broadcast(homes.where(F.col("rows") >= max(2, HOT * n_rows)).select("key", "shard"))
     cold = homes.where(F.col("rows") < max(2, HOT * n_rows)).select("key", "shard")

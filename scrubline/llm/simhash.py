@@ -152,7 +152,7 @@ def links(fingerprints: DataFrame, bits: int = 2, hot: int = HOT) -> DataFrame:
     rows = rows.withColumn("key", F.col("value").bitwiseAND(F.col("mask")))
     cold: list[DataFrame] = []
     for level in range(LEVELS):
-        heavy = checkpoint(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("mask", "key"))
+        heavy = checkpoint(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("mask", "key"), narrow=True)
         if level == LEVELS - 1 or heavy.isEmpty():
             break
         cold.append(rows.join(heavy, ["mask", "key"], "left_anti"))
@@ -169,7 +169,7 @@ def links(fingerprints: DataFrame, bits: int = 2, hot: int = HOT) -> DataFrame:
 
 def classes(prints: DataFrame, bits: int = 2) -> DataFrame:
     """``(value, component)`` for the distinct values of ``prints(value)``; the component is named by its smallest value."""
-    values = checkpoint(prints.select("value").distinct())
+    values = checkpoint(prints.select("value").distinct(), narrow=True)
     joined = components(links(values, bits))
     return values.join(joined.withColumnRenamed("node", "value"), "value", "left").select("value", F.coalesce("component", "value").alias("component"))
 
@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SIMILAR = 0.8
 #: Bits by which the first half of two fingerprints may differ for the trie to link them, at once whatever their size.
 TRIE_BITS = 3
-#: Sets of at least ``LEAST`` shingles whose 128 bits differ by more than ``BUDGET`` are not compared. A bit differs with a probability
-#: of acos(0.889) / pi = 0.15 at a similarity of 0.8, so 46 of 128 are more than six standard deviations off.
-LEAST, BUDGET = 64, 46
+#: Sets whose 128 bits differ by more than this are not compared. Over all numbers of common and own shingles that make a similarity of 0.8,
+#: a bit differs with a probability of 0.1875 at most (4 common, 1 own), and mostly of 0.152, so more than 50 of 128 differ in less
+#: than one of ten million such pairs; a test adds up the chances.
+BUDGET = 50
 #: Texts that are sent to every worker by their hashes alone when their shingles are wanted.
 BROADCAST = 500_000
 
@@ -269,7 +270,7 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.flatnonzero(good) + i + 1
                 if len(at):
                     apart = np.bitwise_count(high[at] ^ high[i]).astype(np.int64) + np.bitwise_count(low[at] ^ low[i])
-                    at = at[(apart <= BUDGET) | (np.minimum(n[at], n[i]) < LEAST)]
+                    at = at[apart <= BUDGET]
                 if len(at):
                     out.append(np.stack([np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])], 1))
                     waiting += len(at)
@@ -282,9 +283,9 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -> DataFrame:
     """The ``pairs(a, b)`` of sets that have a Jaccard similarity of ``SIMILAR``, from their shingles. ``names(id, hash)`` tells a
     set's text by its hash, ``texts(hash, text)`` has the texts."""
-    pairs = checkpoint(pairs)
+    pairs = checkpoint(pairs, narrow=True)
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = checkpoint(names.join(ids, "id", "left_semi"))
+    wanted = checkpoint(names.join(ids, "id", "left_semi"), narrow=True)
     side = F.broadcast(wanted) if small_enough(wanted.count(), BROADCAST) else wanted
 
     @F.arrow_udf("binary")
@@ -305,29 +306,29 @@ def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -
     return rows.where(near("x", "y")).select("a", "b")
 
 
-def similar_classes(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``(id, component)`` for the ``sets(id, hash, n, high, low, first)`` that have a similar one.
+def similar_classes(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``(id, component)`` for the ``sets(id, hash, n, high, low)`` with the prefixes ``prefixes(id, n, first)`` that have a similar one.
 
     Candidates are the links of the trie over the fingerprints' first halves, equal ones, and for every set the one that it meets
     most often under the shingles of its prefix. Verified, they join most of each large group by about as many comparisons as it
     has members. Then all sets that meet, are in different components and whose fingerprints are within the budget are compared.
     """
     value = F.col("high").alias("value")
-    first = checkpoint(sets.groupBy("high").agg(F.min("id").alias("id")))
+    first = checkpoint(sets.groupBy("high").agg(F.min("id").alias("id")), narrow=True)
     close = links(first.select(value), TRIE_BITS)
     a, b = (first.select(F.col("high").alias(x), F.col("id").alias(f"{x}_id")) for x in "ab")
     edges = close.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     equal = sets.join(first.withColumnRenamed("id", "least"), "high").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    spread = sets.mapInArrow(_spread, "key long, id long, n int, pos int")
-    met = checkpoint(spread.repartition("key").sortWithinPartitions("key", "pos", "id").mapInArrow(_met, "key long, id long, n int, pos int, hub long"))
+    spread = prefixes.mapInArrow(_spread, "key long, id long, n int, pos int")
+    met = checkpoint(spread.repartition("key").sortWithinPartitions("key", "pos", "id").mapInArrow(_met, "key long, id long, n int, pos int, hub long"), narrow=True)
     prints = sets.select("id", "n", "high", "low")
     other = prints.select(*(F.col(c).alias(f"hub_{c}" if c != "id" else "hub") for c in prints.columns))
     often = met.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times")).join(prints, "id").join(other, "hub")
     apart = F.bit_count(F.col("high").bitwiseXOR(F.col("hub_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("hub_low")))
     few, many = F.least("n", "hub_n"), F.greatest("n", "hub_n")
-    often = often.where((few >= SIMILAR * many - 1e-9) & ((apart <= BUDGET) | (few < LEAST)))
+    often = often.where((few >= SIMILAR * many - 1e-9) & (apart <= BUDGET))
     most = often.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    edges = checkpoint(verified(edges.unionAll(equal).unionAll(most).distinct(), texts, sets.select("id", "hash"), width))
+    edges = checkpoint(verified(edges.unionAll(equal).unionAll(most).distinct(), texts, sets.select("id", "hash"), width), narrow=True)
     parts = components(edges).withColumnRenamed("node", "id")
     rows = met.drop("hub").join(prints.drop("n"), "id").join(parts, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("part"), "high", "low")
     more = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs, "a long, b long").distinct()
@@ -345,15 +346,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     described = docs.select(F.col(id_col).alias("own"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_described(width, *common), f"own {kind}, hash long, id long, n long, high long, low long, first binary")
     prints = checkpoint(described)
     best = F.min(F.struct(F.col("own").isNull().alias("no_id"), F.col("own").alias("id"), F.col("hash").alias("hash"))).alias("best")
-    sets = checkpoint(prints.groupBy("id").agg(best, *(F.first(c).alias(c) for c in ("n", "high", "low", "first"))))
-    classes_of = similar_classes(sets.withColumn("hash", F.col("best.hash")), texts, width)
+    sets = checkpoint(prints.groupBy("id").agg(best, *(F.min(c).alias(c) for c in ("n", "high", "low"))), narrow=True)
+    prefixes = prints.select("id", "n", "first").dropDuplicates(["id"])
+    classes_of = similar_classes(sets.withColumn("hash", F.col("best.hash")), prefixes, texts, width)
     named = sets.select("id", "best").join(classes_of, "id", "left")
     kept = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best"))
     kept_id, kept_hash, own_hash = unused(docs, "kept_id"), unused(docs, "kept_hash"), unused(docs, "text_hash")
-    kept = checkpoint(kept.select(F.col("best.id").alias(kept_id), F.col("best.hash").alias(kept_hash)))
+    kept = checkpoint(kept.select(F.col("best.id").alias(kept_id), F.col("best.hash").alias(kept_hash)), narrow=True)
     copies = prints.groupBy(F.col("own").alias(kept_id), F.col("hash").alias(kept_hash)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     same = lambda a, b: F.col(f"{a}.{kept_id}").eqNullSafe(F.col(f"{b}.{kept_id}")) & (F.col(f"{a}.{kept_hash}") == F.col(f"{b}.{kept_hash}"))
-    repeated = checkpoint(kept.alias("k").join(copies.alias("c"), same("k", "c"), "left_semi"))
+    repeated = checkpoint(kept.alias("k").join(copies.alias("c"), same("k", "c"), "left_semi"), narrow=True)
 
     def matching(side: DataFrame) -> DataFrame:
         rows = docs.withColumn(own_hash, F.xxhash64(text))

@@ -554,6 +554,22 @@ def test_keep_one_misses_no_short_pair(spark, common, own):
     assert _kept(spark, texts) == list(range(0, 80, 2))
 
 
+def test_the_budget_of_bits_is_lossless():
+    """For all numbers of common and own shingles of a similarity of 0.8 or just above, the chance that more bits differ."""
+    votes = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+    for n in [*range(1, 48), 80, 150]:
+        for common in range(math.ceil(0.8 * n), n + 1):
+            own, most = n - common, int(common / 0.8 + 1e-9) - n
+            for other in {max(0, most - 1), max(0, most)} if most >= 0 else ():
+                differ = 0.0
+                for k, p in enumerate(votes(common)):
+                    a = sum(q for x, q in enumerate(votes(own)) if 2 * (k + x) > n)
+                    b = sum(q for x, q in enumerate(votes(other)) if 2 * (k + x) > common + other)
+                    differ += p * (a * (1 - b) + b * (1 - a))
+                missed = sum(math.comb(128, k) * differ**k * (1 - differ) ** (128 - k) for k in range(simhash.BUDGET + 1, 129))
+                assert missed < 1e-7, (common, own, other)
+
+
 def test_keep_one_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
