@@ -21,13 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def checkpoint(df: DataFrame, narrow: bool = False) -> DataFrame:
+def checkpoint(df: DataFrame, narrow: bool = False, joined: bool = False) -> DataFrame:
     """Cut the lineage: rows go to the shared folder, so a lost executor loses nothing. A ``narrow`` table, of few bytes a row, is
-    written in as many files as the session has cores, however many partitions it was shuffled to."""
+    written in as many files as the session has cores, however many partitions it was shuffled to. One that comes out of a
+    join is ``joined``: its rows are dealt out once more, since a task that ran many partitions of a join would hold the memory of all."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return (df.coalesce(max(1, context.defaultParallelism)) if narrow else df).checkpoint(eager=True)
+    cores = max(1, context.defaultParallelism)
+    return (df.repartition(cores) if joined else df.coalesce(cores) if narrow else df).checkpoint(eager=True)
 
 
 def own_folder(spark: SparkSession, name: str) -> str:
