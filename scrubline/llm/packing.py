@@ -206,7 +206,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | No
     side = F.broadcast(ranges) if small_enough(len(placed), BROADCAST_RANGES) else ranges
     ranked = _numbered(groups, "bytes", ["key"], "key")
     homes = ranked.join(side, (F.col("bytes") == F.col("in_size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    homes = checkpoint(homes.select("key", "shard", "rows"), narrow=True)
+    homes = checkpoint(homes.select("key", "shard", "rows"), joined=True)
     n_rows = homes.agg(F.sum("rows")).first()[0] or 0
     hot = F.broadcast(homes.where(F.col("rows") >= max(2, HOT * n_rows)).select("key", "shard"))
     cold = homes.where(F.col("rows") < max(2, HOT * n_rows)).select("key", "shard")

@@ -285,7 +285,7 @@ def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int) -
     set's text by its hash, ``texts(hash, text)`` has the texts."""
     pairs = checkpoint(pairs, narrow=True)
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = checkpoint(names.join(ids, "id", "left_semi"), narrow=True)
+    wanted = checkpoint(names.join(ids, "id", "left_semi"), joined=True)
     side = F.broadcast(wanted) if small_enough(wanted.count(), BROADCAST) else wanted
 
     @F.arrow_udf("binary")
@@ -328,7 +328,7 @@ def similar_classes(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, widt
     few, many = F.least("n", "hub_n"), F.greatest("n", "hub_n")
     often = often.where((few >= SIMILAR * many - 1e-9) & (apart <= BUDGET))
     most = often.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    edges = checkpoint(verified(edges.unionAll(equal).unionAll(most).distinct(), texts, sets.select("id", "hash"), width), narrow=True)
+    edges = checkpoint(verified(edges.unionAll(equal).unionAll(most).distinct(), texts, sets.select("id", "hash"), width), joined=True)
     parts = components(edges).withColumnRenamed("node", "id")
     rows = met.drop("hub").join(prints.drop("n"), "id").join(parts, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("part"), "high", "low")
     more = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs, "a long, b long").distinct()
@@ -352,10 +352,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     named = sets.select("id", "best").join(classes_of, "id", "left")
     kept = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best"))
     kept_id, kept_hash, own_hash = unused(docs, "kept_id"), unused(docs, "kept_hash"), unused(docs, "text_hash")
-    kept = checkpoint(kept.select(F.col("best.id").alias(kept_id), F.col("best.hash").alias(kept_hash)), narrow=True)
+    kept = checkpoint(kept.select(F.col("best.id").alias(kept_id), F.col("best.hash").alias(kept_hash)), joined=True)
     copies = prints.groupBy(F.col("own").alias(kept_id), F.col("hash").alias(kept_hash)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     same = lambda a, b: F.col(f"{a}.{kept_id}").eqNullSafe(F.col(f"{b}.{kept_id}")) & (F.col(f"{a}.{kept_hash}") == F.col(f"{b}.{kept_hash}"))
-    repeated = checkpoint(kept.alias("k").join(copies.alias("c"), same("k", "c"), "left_semi"), narrow=True)
+    repeated = checkpoint(kept.alias("k").join(copies.alias("c"), same("k", "c"), "left_semi"), joined=True)
 
     def matching(side: DataFrame) -> DataFrame:
         rows = docs.withColumn(own_hash, F.xxhash64(text))
