@@ -26,7 +26,7 @@ from .common import checkpoint, small_enough
 
 TREES, BITS, MISS = 128, 32, 0.1
 #: Rows of a group of a tree, rows on each side of a query's place that the descent looks at, and rows and queries scored together.
-GROUP, BESIDE, BLOCK, QUERIES = 4096, 4, 8192, 4096
+GROUP, BESIDE, BLOCK, QUERIES = 4096, 4, 16384, 512
 #: Groups above twice GROUP that are broadcast, at most.
 BROADCAST_GROUPS = 100_000
 
@@ -67,40 +67,49 @@ def _hashed(trees: int, bits: int):
     return rows
 
 
-def _descended(bits: int, beside: int):
+#: Rows found for a query in one group of a tree, by the block in which they are scored.
+_LISTS = "query long, block long, ids binary"
+
+
+def _lists(found: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*found, strict=True)) or [()] * 3
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "block", "ids"), columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+
+def _descended(blocks: int, beside: int):
     """For each query of a group the rows next to its place."""
 
     def group(index: pa.Table, asked: pa.Table) -> pa.Table:
         code, ids = np.asarray(index.column("code")), np.asarray(index.column("id"))
         order = np.argsort(code, kind="stable")
         at = np.searchsorted(code[order], np.asarray(asked.column("code")))
-        places = at[:, None] + np.arange(-beside, beside)
-        good = (places >= 0) & (places < len(ids))
-        query = np.broadcast_to(np.asarray(asked.column("query"))[:, None], places.shape)[good]
-        return pa.table({"query": query, "id": ids[order][places[good]] if len(ids) else np.empty(0, np.int64)})
+        found = []
+        for query, place in zip(asked.column("query").to_pylist(), at.tolist(), strict=True):
+            own = ids[order[max(0, place - beside) : place + beside]]
+            homes = own % blocks
+            found += [(query, int(b), own[homes == b].tobytes()) for b in np.unique(homes)]
+        return _lists(found)
 
     return group
 
 
-def _ascended(bits: int):
+def _ascended(blocks: int, bits: int):
     """For each query of a group all rows that share its prefix at its level."""
 
     def group(index: pa.Table, asked: pa.Table) -> pa.Table:
         code, ids = np.asarray(index.column("code")), np.asarray(index.column("id"))
-        order = np.argsort(code, kind="stable")
-        code, ids = code[order], ids[order]
-        own, rest = np.asarray(asked.column("code")), bits - np.asarray(asked.column("level"))
-        low, high = np.searchsorted(code, own >> rest << rest), np.searchsorted(code, (own >> rest) + 1 << rest)
-        n = high - low
-        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return pa.table({"query": np.repeat(np.asarray(asked.column("query")), n), "id": ids[places]})
+        own, rest, queries = np.asarray(asked.column("code")), bits - np.asarray(asked.column("level")), asked.column("query").to_pylist()
+        homes, found = ids % blocks, []
+        for b in np.unique(homes):
+            mine = np.flatnonzero(homes == b)
+            mine = mine[np.argsort(code[mine], kind="stable")]
+            low, high = np.searchsorted(code[mine], own >> rest << rest), np.searchsorted(code[mine], (own >> rest) + 1 << rest)
+            found += [(query, int(b), ids[mine[x:y]].tobytes()) for query, x, y in zip(queries, low.tolist(), high.tolist(), strict=True) if x < y]
+        return _lists(found)
 
     return group
 
 
-_PAIRS = "query long, id long"
-
-
 def _scored(k: int):
     """The k best of a block's rows for each query that has candidates in it, and how many were scored."""
 
@@ -115,7 +124,7 @@ def _scored(k: int):
                 units[s], place[mine] = _unit(_matrix(rows.column("v").combine_chunks().take(pa.array(mine)))), np.arange(len(mine))
             for query, v, found in zip(asked.column("query").to_pylist(), asked.column("v"), asked.column("ids"), strict=True):
                 vector = np.asarray(v.values, dtype=np.float64)[None]
-                at = np.searchsorted(ids, np.asarray(found.values))
+                at = np.searchsorted(ids, np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in found])))
                 values = np.einsum("ij,j->i", units[vector.shape[1]][place[at]], _unit(vector)[0])
                 for i in np.lexsort((ids[at], -values))[:k]:
                     for column, x in zip(out, (query, int(ids[at[i]]), float(values[i]), 0), strict=True):
@@ -165,25 +174,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     dealt = rows.join(side, place, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long"))).select("id", "code", *place, "part")
 
     def met(questions: DataFrame, work) -> DataFrame:
-        """Pairs of queries and index rows that ``work`` finds in the groups of ``questions(query, code, level, size, tree, prefix)``."""
+        """Lists of index rows that ``work`` finds in the groups of ``questions(query, code, level, size, tree, prefix)``."""
         everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1))
         sent = questions.join(side, place, "left").select("query", "code", "level", *place, everywhere.alias("part"))
         keys = [*place, "part"]
-        return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(work, _PAIRS).distinct()
+        return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(work, _LISTS)
 
     n_blocks, n_sets = max(1, -(-total // block)), max(1, -(-n_asked // QUERIES))
-    home, team = (lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))), (lambda c: F.pmod(F.xxhash64(c), F.lit(n_sets)))
+    team = F.pmod(F.xxhash64("query"), F.lit(n_sets))
 
-    def scores(pairs: DataFrame, best: int) -> DataFrame:
+    def scores(found: DataFrame, best: int) -> DataFrame:
         """The ``best`` rows of every block and the number scored there, for each query."""
-        lists = pairs.groupBy("query", home("id").alias("block")).agg(F.collect_list("id").alias("ids"))
-        wanted = lists.join(asked.select(F.col("id").alias("query"), "v"), "query").withColumn("team", team("query"))
-        stored = index.select("id", "size", "v", home("id").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sets - 1).cast("long"))).alias("team"))
+        lists = found.groupBy("query", "block").agg(F.collect_list("ids").alias("ids"))  # at most a list a tree, of a block's rows
+        wanted = lists.join(asked.select(F.col("id").alias("query"), "v"), "query").withColumn("team", team)
+        stored = index.select("id", "size", "v", F.pmod("id", F.lit(n_blocks).cast("long")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sets - 1).cast("long"))).alias("team"))
         return stored.groupBy("block", "team").cogroup(wanted.groupBy("block", "team")).applyInArrow(_scored(best), "query long, id long, score double, n long")
 
     questions = strings(asked, F.col("id").alias("query"), F.lit(bits).alias("level")).drop("id")
     # k + 1 vectors hold k others besides the query's own
-    first = scores(met(questions, _descended(bits, BESIDE)), k + 1)
+    first = scores(met(questions, _descended(n_blocks, BESIDE)), k + 1)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
     reached = ranked.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(F.lit(-1.0)).alias("c"))
     levels = checkpoint(asked.select(F.col("id").alias("query")).join(reached, "query", "left").select("query", _level(F.coalesce("c", F.lit(-1.0)), trees, bits, miss).alias("level")))
@@ -192,7 +201,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     under = F.expr("shiftleft(1L, above) - 1")
     questions = questions.withColumn("above", above.cast("int")).withColumn("start", F.expr("shiftleft(shiftright(prefix, above), above)"))
     questions = questions.select("query", "code", "level", "size", "tree", F.explode(F.sequence(F.col("start"), F.col("start") + under)).alias("prefix"))
-    found = scores(met(questions, _ascended(bits)), k + 1)
+    found = scores(met(questions, _ascended(n_blocks, bits)), k + 1)
     found = found.withColumn("candidates", F.sum("n").over(Window.partitionBy("query")))
     found = found.join(index.select("id", F.explode("ids").alias("vec_id")), "id").where("vec_id <> query")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

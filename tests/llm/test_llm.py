@@ -395,15 +395,16 @@ def test_descent_and_ascent_equal_brute_force():
     asked = np.concatenate([code[:5], rng.integers(0, 1 << 12, 20)])
     index = pa.table({"id": pa.array(np.arange(200)), "code": pa.array(code)})
     common = lambda x, y: 12 - int(x ^ y).bit_length()
-    found = lsh_forest._descended(12, 4)(index, pa.table({"query": pa.array(np.arange(25)), "code": pa.array(asked)}))
+    pairs = lambda t: [(q, i) for q, b, ids in zip(*(t[c].to_pylist() for c in ("query", "block", "ids")), strict=True) for i in np.frombuffer(ids, np.int64).tolist() if i % 3 == b]
+    found = lsh_forest._descended(3, 4)(index, pa.table({"query": pa.array(np.arange(25)), "code": pa.array(asked)}))
     got = {}
-    for q, i in zip(found["query"].to_pylist(), found["id"].to_pylist(), strict=True):
+    for q, i in pairs(found):
         got.setdefault(q, []).append(i)
     assert all(max(common(asked[q], code[i]) for i in got[q]) == max(common(asked[q], c) for c in code) and 4 <= len(got[q]) <= 8 for q in range(25))
     for level in (0, 3, 7, 12):
-        found = lsh_forest._ascended(12)(index, pa.table({"query": pa.array(np.arange(25)), "code": pa.array(asked), "level": pa.array(np.full(25, level))}))
+        found = lsh_forest._ascended(3, 12)(index, pa.table({"query": pa.array(np.arange(25)), "code": pa.array(asked), "level": pa.array(np.full(25, level))}))
         expected = sorted((q, i) for q in range(25) for i in range(200) if common(asked[q], code[i]) >= level)
-        assert sorted(zip(found["query"].to_pylist(), found["id"].to_pylist(), strict=True)) == expected
+        assert sorted(pairs(found)) == expected
 
 
 def test_clustered_vectors_need_few_candidates(spark):
