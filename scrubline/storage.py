@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one set on the context. A temporary folder of this
     machine serves only a session that runs in one process on it; on a cluster the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    if not folder and re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
         folder = os.path.join(tempfile.gettempdir(), "scrubline-checkpoints")
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
