@@ -37,7 +37,7 @@ from .common import text_of
 
 BLOCK, SHARD = 64 << 10, 16 << 20
 #: Bytes of text to a range partition, unless a table has more of it than ``MOST`` partitions hold.
-PARTITION, MOST = 48 << 20, 100_000
+PARTITION, MOST = 24 << 20, 100_000
 MAGIC = b"SLT2"
 _HEAD, _INDEX, _FOOT = struct.Struct("<4s3Q"), struct.Struct("<9sQLL"), struct.Struct("<6QBQ4s")
 
