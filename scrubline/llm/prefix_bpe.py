@@ -29,7 +29,8 @@ from .common import text_of
 
 #: One character that stands for the end of a word in the automaton.
 END = "￿"
-CACHE = 300_000
+#: Chunks between white space kept at once, and pairs of tokens; each cache starts anew beyond it.
+CACHE = 200_000
 #: Python splits at these, the normaliser's white space doesn't include them.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Outside these ranges Python's Unicode tables may be of another version than the library's.
@@ -80,7 +81,7 @@ class PrefixBpe:
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) >= CACHE:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(self.symbols[a] + self.symbols[b]) == [a, b]
         return known
@@ -109,25 +110,26 @@ class PrefixBpe:
         return len(ids), struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids]).encode()
 
     def _word(self, word: str) -> tuple[int, bytes, bytes]:
-        found = self.words.get(word)
+        kept = self.chunks if word.isalpha() else self.words  # a chunk of letters is one word
+        found = kept.get(word)
         if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            found = self.words[word] = self._digest(self.encode_word(word))
+            if len(kept) >= CACHE:
+                kept.clear()
+            found = kept[word] = self._digest(self.encode_word(word))
         return found
 
     def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
+        if chunk.isalpha():
+            return self._word(chunk)
         found = self.chunks.get(chunk)
         if found is None:
-            if chunk.isalpha():
-                parts = [self._word(chunk)]
-            elif chunk[-1] in ".," and chunk[:-1].isalpha():
+            if chunk[-1] in ".," and chunk[:-1].isalpha():
                 parts = [self._word(chunk[:-1]), self._word(chunk[-1])]
             else:
                 parts = [self._word(w) for w in self.pretokens.findall(chunk)]
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()
-            found = self.chunks[chunk] = (sum(p[0] for p in parts), b"".join(p[1] for p in parts), b" ".join(p[2] for p in parts))
+            found = self.chunks[chunk] = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), b"".join(p[1] for p in parts), b" ".join(p[2] for p in parts))
         return found
 
     def encode(self, text: str) -> tuple[int, bytes, bytes]:
