@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 #: Categories and patterns. Patterns use what Java's and RE2's syntax share.
 PATTERNS = {
-    "Email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}",
-    "IPAddress": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
-    "CreditCardNumber": r"[0-9](?:[ -]?[0-9]){12,18}",
-    "PhoneNumber": r"\+[0-9][0-9 ()-]{7,14}[0-9]",
-    "UKNationalInsuranceNumber": r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]",
-    "UKNationalHealthNumber": r"[0-9]{3} [0-9]{3} [0-9]{4}",
-    "UKElectoralRollNumber": r"[A-Z]{2,3}[0-9]{1,4}/[0-9]{1,4}",
-    "UKUniqueTaxpayerReferenceNumber": r"UTR:? ?[0-9]{10}",
-    "UKDriversLicenseNumber": r"[A-Z9]{5}[0-9]{6}[A-Z9]{2}[0-9A-Z]{3}",
-    "PassportNumber": r"[Pp]assport(?: [Nn]o\.?)?:? ?[A-Z0-9]{9}",
-    "DateTime": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
-    "Age": r"[Aa]ged? [0-9]{1,3}",
-    "Address": r"[0-9]{1,4} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane)",
-    "Secret": r"""(?:token|key|secret|password) = "[^"]+\"""",
+    "Email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b",
+    "IPAddress": r"\b[0-9]{1,9}(?:\.[0-9]{1,9}){3,}\b",
+    "CreditCardNumber": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
+    "PhoneNumber": r"\+[0-9][0-9 ()-]{7,14}[0-9]\b",
+    "UKNationalInsuranceNumber": r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b",
+    "UKNationalHealthNumber": r"\b[0-9]{3} [0-9]{3} [0-9]{4}\b",
+    "UKElectoralRollNumber": r"\b[A-Z]{2,3}[0-9]{1,4}/[0-9]{1,4}\b",
+    "UKUniqueTaxpayerReferenceNumber": r"\bUTR:? ?[0-9]{10}\b",
+    "UKDriversLicenseNumber": r"\b[A-Z9]{5}[0-9]{6}[A-Z9]{2}[0-9A-Z]{3}\b",
+    "PassportNumber": r"\b[Pp]assport(?: [Nn]o\.?)?:? ?[A-Z0-9]{9}\b",
+    "DateTime": r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b",
+    "Age": r"\b[Aa]ged? [0-9]{1,3}\b",
+    "Address": r"\b[0-9]{1,4} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane)\b",
+    "Secret": r"""\b(?:token|key|secret|password) = "[^"]+\"""",
 }
 _MARK = "\x01"
 
@@ -38,9 +38,9 @@ def matches(pieces: Column) -> Column:
 
 
 def is_valid(category: Column, text: Column) -> Column:
-    """Checks beyond the pattern: octets, card and health-number check digits, the number of digits."""
+    """Checks beyond the pattern: four octets, card and health-number check digits, the number of digits."""
     digits = F.regexp_replace(text, "[^0-9]", "")
-    octets = F.forall(F.split(text, r"\."), lambda o: o.cast("int") <= 255)
+    octets = text.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & F.forall(F.split(text, r"\."), lambda o: o.cast("int") <= 255)
     nhs = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda a, i: a + (11 - i) * F.substring(digits, i, F.lit(1)).cast("int"))
     return (
         F.when(category == "IPAddress", octets)

@@ -67,7 +67,7 @@ def _matches_sql(names: list[str] | None = None) -> str:
     digits = "regexp_replace(text, '[^0-9]', '', 'g')"
     luhn = f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({digits}), i, 1)::INT ELSE substr(reverse({digits}), i, 1)::INT * 2 - CASE WHEN substr(reverse({digits}), i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)"
     nhs = f"((11 - list_sum(list_transform(range(1, 10), lambda i: (11 - i) * substr({digits}, i, 1)::INT)) % 11) % 11 = substr({digits}, 10, 1)::INT)"
-    octets = "(len(list_filter(string_split(text, '.'), lambda o: o::INT > 255)) = 0)"
+    octets = "(regexp_full_match(text, '[0-9]{1,3}(\\.[0-9]{1,3}){3}') AND len(list_filter(string_split(text, '.'), lambda o: o::INT > 255)) = 0)"
     valid = f"CASE category WHEN 'IPAddress' THEN {octets} WHEN 'CreditCardNumber' THEN {luhn} WHEN 'UKNationalHealthNumber' THEN {nhs} WHEN 'PhoneNumber' THEN length({digits}) BETWEEN 9 AND 15 ELSE true END"
     return f"raw AS ({parts}), flat AS (SELECT doc_id, category, m.text AS text, m.\"offset\" AS \"offset\", m.length AS length FROM raw), ents AS (SELECT * FROM flat WHERE {valid})"
 
