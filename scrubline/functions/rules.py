@@ -22,12 +22,24 @@ PATTERNS = {
     "Address": r"\b[0-9]{1,4} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane)\b",
     "Secret": r"""\b(?:token|key|secret|password) = "[^"]+\"""",
 }
+#: Persons after a title, and organisations by their kind; defaults where no model's entities are given.
+NAME_PATTERNS = {
+    "Person": r"\b(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+\b",
+    "Organization": r"\b[A-Z][a-z]+ (?:School|Academy|College|University|Ltd|Inc|GmbH)\b",
+}
+#: What every match of a category holds; a text without it isn't searched.
+HOLDS = {
+    "Email": "@", "IPAddress": ".", "PhoneNumber": "+", "UKElectoralRollNumber": "/", "UKUniqueTaxpayerReferenceNumber": "UTR", "PassportNumber": "assport",
+    "DateTime": "/", "Secret": ' = "',
+}
 _MARK = "\x01"
 
 
-def pieces(text: Column, pattern: str) -> Column:
-    """A text cut at its matches: every second piece is one. The mark character must not occur in texts; take it out first."""
-    return F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+def pieces(text: Column, pattern: str, holds: str = "") -> Column:
+    """A text cut at its matches: every second piece is one. The mark character must not occur in texts; take it out first.
+    Null for a text without the characters that every match ``holds``."""
+    cut = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+    return F.when(text.contains(holds), cut) if holds else cut
 
 
 def matches(pieces: Column) -> Column:

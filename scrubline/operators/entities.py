@@ -18,14 +18,17 @@ def _named(category: str, found: Column) -> Column:
     return F.transform(F.coalesce(found, F.array()), part)
 
 
-def recognise(docs: DataFrame, categories: list[str] | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``category``, ``text``, ``offset`` and ``length`` of every rule match, in one pass over the texts."""
+def recognise(docs: DataFrame, categories: list[str] | None = None, key: str | list[str] = "doc_id", text_col: str = "text", patterns: dict[str, str] = rules.PATTERNS, content: bool = False) -> DataFrame:
+    """The key (``doc_id``), ``category``, ``text``, ``offset`` and ``length`` of every rule match, in one pass over the texts; with
+    ``content``, the searched text too."""
+    keys = [key] if isinstance(key, str) else key
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01", " ")
-    chosen = [(c, p) for c, p in rules.PATTERNS.items() if categories is None or c in categories]
+    chosen = [(c, p) for c, p in patterns.items() if categories is None or c in categories]
+    kept = [*keys, "content"] if content else keys
     # the pieces are columns of their own, so that a text is cut once per rule and not once per match
-    cut = docs.select(key, text.alias("t")).select(key, *(rules.pieces(F.col("t"), p).alias(f"p{k}") for k, (_, p) in enumerate(chosen)))
+    cut = docs.select(*keys, text.alias("content")).select(*kept, *(rules.pieces(F.col("content"), p, rules.HOLDS.get(c, "")).alias(f"p{k}") for k, (c, p) in enumerate(chosen)))
     found = [_named(c, rules.matches(F.col(f"p{k}"))) for k, (c, _) in enumerate(chosen)]
-    rows = cut.select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.*")
+    rows = cut.select(*kept, F.explode(F.concat(*found)).alias("m")).select(*kept, "m.*")
     return rows.where(rules.is_valid(F.col("category"), F.col("text")))
 
 
@@ -43,23 +46,46 @@ def validate(entities: DataFrame) -> DataFrame:
     return entities.withColumn("is_kept", kept).withColumn("final_category", name)
 
 
-def linking_needed(entities: DataFrame, any_exceptions: bool = True) -> DataFrame:
-    """``doc_id`` and ``is_needed``: whether a chunk has a person and another category, and exceptions exist."""
+def linking_needed(entities: DataFrame, any_exceptions: bool = True, key: str | list[str] = "doc_id") -> DataFrame:
+    """The key (``doc_id``) and ``is_needed``: whether a chunk has a person and another category, and exceptions exist."""
     person = F.col("category") == "Person"
-    return entities.groupBy("doc_id").agg((F.bool_or(person) & F.bool_or(~person) & F.lit(any_exceptions)).alias("is_needed"))
+    return entities.groupBy(key).agg((F.bool_or(person) & F.bool_or(~person) & F.lit(any_exceptions)).alias("is_needed"))
 
 
-def without_exceptions(entities: DataFrame, exceptions: DataFrame, links: DataFrame) -> DataFrame:
+def sole_owners(entities: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+    """Links by rule, the default where no model links: ``owner`` of every text of a chunk that names exactly one person."""
+    keys = [key] if isinstance(key, str) else key
+    person = F.when(F.col("category") == "Person", F.col("text"))
+    one = entities.groupBy(keys).agg(F.min(person).alias("owner"), F.max(person).alias("other")).where("owner = other").drop("other")
+    return entities.select(*keys, "text").distinct().join(one, keys)
+
+
+def without_exceptions(entities: DataFrame, exceptions: DataFrame, links: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
     """Findings: entities less those excepted. Where a document needs linking, an entity goes if its owner is
-    excepted; elsewhere, if its own text is. ``exceptions(value)`` is lower-case, ``links(doc_id, text, owner)``."""
-    needed = linking_needed(entities)
-    owner = links.select("doc_id", "text", F.lower("owner").alias("owner"))
-    rows = entities.join(needed, "doc_id").join(owner, ["doc_id", "text"], "left")
+    excepted; elsewhere, if its own text is. ``exceptions(value)`` is lower-case, ``links`` has the key, ``text`` and ``owner``."""
+    keys = [key] if isinstance(key, str) else key
+    needed = linking_needed(entities, key=keys)
+    owner = links.select(*keys, "text", F.lower("owner").alias("owner"))
+    rows = entities.join(needed, keys).join(owner, [*keys, "text"], "left")
     rows = rows.withColumn("tested", F.when(F.col("is_needed"), F.col("owner")).otherwise(F.lower("text")))
     left = rows.join(exceptions.select(F.col("value").alias("tested")).distinct(), "tested", "left_anti")
     return left.select(*entities.columns, F.concat(F.lit("Identified as sensitive PII ("), "category", F.lit(").")).alias("reasoning"))
 
 
+def findings(chunks: DataFrame, exceptions: DataFrame, links: DataFrame | None = None, others: DataFrame | None = None, key: str | list[str] = "doc_id") -> DataFrame:
+    """All steps from chunks to findings: recognise by rule (``others`` adds a model's entities: the key, ``category``, ``text``,
+    ``offset``, ``length`` and the chunk's ``content``), validate by context, link to owners (:func:`sole_owners` unless ``links`` are
+    given), drop what is excepted. The key, ``text``, the final ``category``, ``offset``, ``length`` and ``reasoning``. Null and empty
+    texts have no findings."""
+    keys = [key] if isinstance(key, str) else key
+    found = recognise(chunks, key=keys, patterns=rules.PATTERNS | rules.NAME_PATTERNS, content=True)
+    if others is not None:
+        found = found.unionByName(others.select(found.columns))
+    kept = validate(found).where("is_kept").drop("is_kept", "content")
+    left = without_exceptions(kept, exceptions, links if links is not None else sole_owners(kept, keys), keys)
+    return left.select(*keys, "text", F.col("final_category").alias("category"), "offset", "length", F.concat(F.lit("Identified as sensitive PII ("), "final_category", F.lit(").")).alias("reasoning"))
+
+
 def statistics(entities: DataFrame) -> DataFrame:
     """Count, distinct texts and lengths by category."""
     return entities.groupBy("category").agg(

@@ -24,6 +24,13 @@ def areas(suggestions: DataFrame, approvals: DataFrame, others: list[DataFrame])
     return rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_set(F.struct("y0", "x0", "y1", "x1"))).alias("rects"))
 
 
+def applied(areas: DataFrame, pages: DataFrame) -> DataFrame:
+    """Areas with ``is_applied``: whether their page is one of their document's ``pages(doc_id, n_pages)``, counted from 0. Those of
+    other pages, of unknown documents and without a page are skipped by whoever draws them."""
+    inside = F.col("page").between(F.lit(0), F.col("n_pages") - 1)
+    return areas.join(pages, "doc_id", "left").withColumn("is_applied", F.coalesce(inside, F.lit(False))).drop("n_pages")
+
+
 def occurrences(words: DataFrame, needles: DataFrame) -> DataFrame:
     """Every word that equals a needle: ``id`` (``promo_text_page_line_word``), each once. ``needles(doc_id, text)``;
     only the words lose their closing marks, so a needle of several words finds nothing."""

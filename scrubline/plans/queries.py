@@ -60,16 +60,16 @@ _CHUNKS = f"{_PARAS}, marked AS (SELECT *, CASE WHEN length(line) >= 50 OR row_n
 _WORDS = f"{_LINES}, pieces AS (SELECT doc_id, line_idx, \"offset\" AS lo, unnest(range(len(w))) AS word_idx, unnest(w) AS word FROM (SELECT *, string_split(line, ' ') AS w FROM lines)), placed AS (SELECT *, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line_idx ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS col FROM pieces), words AS (SELECT doc_id, CAST(line_idx // 60 AS INT) AS page, line_idx, CAST(word_idx AS INT) AS word_idx, word, lo + col AS \"offset\", col * 6.0::DOUBLE AS x0, (line_idx % 60) * 12.0::DOUBLE AS y0, (col + length(word)) * 6.0::DOUBLE AS x1, (line_idx % 60) * 12.0::DOUBLE + 10 AS y1 FROM placed WHERE word <> '')"
 
 
-def _matches_sql(names: list[str] | None = None) -> str:
+def _matches_sql(names: list[str] | None = None, source: str = "documents", key: str = "doc_id", patterns: dict[str, str] = rules.PATTERNS) -> str:
     q = lambda p: p.replace("'", "''")
-    one = lambda c, p: f"SELECT doc_id, '{c}' AS category, unnest(list_transform(range(2, len(p), 2), lambda i: {{'text': p[i], 'offset': CAST(length(array_to_string(p[1:i-1], '')) AS INT), 'length': CAST(length(p[i]) AS INT)}})) AS m FROM (SELECT doc_id, string_split(regexp_replace(t, '{q(p)}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM (SELECT doc_id, replace(coalesce(text, ''), chr(1), ' ') AS t FROM documents))"
-    parts = " UNION ALL ".join(one(c, p) for c, p in rules.PATTERNS.items() if names is None or c in names)
+    one = lambda c, p: f"SELECT {key}, '{c}' AS category, unnest(list_transform(range(2, len(p), 2), lambda i: {{'text': p[i], 'offset': CAST(length(array_to_string(p[1:i-1], '')) AS INT), 'length': CAST(length(p[i]) AS INT)}})) AS m FROM (SELECT {key}, string_split(regexp_replace(t, '{q(p)}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM (SELECT {key}, replace(coalesce(text, ''), chr(1), ' ') AS t FROM {source}))"
+    parts = " UNION ALL ".join(one(c, p) for c, p in patterns.items() if names is None or c in names)
     digits = "regexp_replace(text, '[^0-9]', '', 'g')"
     luhn = f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({digits}), i, 1)::INT ELSE substr(reverse({digits}), i, 1)::INT * 2 - CASE WHEN substr(reverse({digits}), i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)"
     nhs = f"((11 - list_sum(list_transform(range(1, 10), lambda i: (11 - i) * substr({digits}, i, 1)::INT)) % 11) % 11 = substr({digits}, 10, 1)::INT)"
     octets = "(regexp_full_match(text, '[0-9]{1,3}(\\.[0-9]{1,3}){3}') AND len(list_filter(string_split(text, '.'), lambda o: o::INT > 255)) = 0)"
     valid = f"CASE category WHEN 'IPAddress' THEN {octets} WHEN 'CreditCardNumber' THEN {luhn} WHEN 'UKNationalHealthNumber' THEN {nhs} WHEN 'PhoneNumber' THEN length({digits}) BETWEEN 9 AND 15 ELSE true END"
-    return f"raw AS ({parts}), flat AS (SELECT doc_id, category, m.text AS text, m.\"offset\" AS \"offset\", m.length AS length FROM raw), ents AS (SELECT * FROM flat WHERE {valid})"
+    return f"raw AS ({parts}), flat AS (SELECT {key}, category, m.text AS text, m.\"offset\" AS \"offset\", m.length AS length FROM raw), ents AS (SELECT * FROM flat WHERE {valid})"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +100,11 @@ def normalize_pdf_text(spark, d):
     return _docs(spark, d).select("doc_id", text.normalize_pdf_text(F.col("text")).alias("normalized"))
 
 
+@query(f"SELECT doc_id, regexp_replace(coalesce(text, ''), '(?m)^{_SP}*(?:>{_SP}*)+', '', 'g') AS bare FROM documents")
+def without_quotes(spark, d):
+    return _docs(spark, d).select("doc_id", text.without_quotes(F.coalesce("text", F.lit(""))).alias("bare"))
+
+
 def _replaced(x: str, marks) -> str:
     for m in marks:
         x = f"replace({x}, '{m.replace(chr(39), chr(39) * 2)}', '')"
@@ -270,6 +275,16 @@ def document_entity_exceptions(spark, d):
     return entities.without_exceptions(found, exceptions, links).select("doc_id", "offset", "text", "category", "reasoning")
 
 
+_FINDINGS = f"WITH {_CHUNKS}, {_matches_sql(None, 'chunks', 'doc_id, chunk_idx', rules.PATTERNS | rules.NAME_PATTERNS)}, near AS (SELECT e.*, lower(substr(replace(c.text, chr(1), ' '), greatest(0, \"offset\" - 20) + 1, \"offset\" - greatest(0, \"offset\" - 20))) AS b FROM ents e JOIN chunks c USING (doc_id, chunk_idx)), kept AS (SELECT *, CASE category WHEN 'DateTime' THEN 'DateOfBirth' WHEN 'Organization' THEN 'School' ELSE category END AS final FROM near WHERE CASE category WHEN 'DateTime' THEN ({_BORN}) WHEN 'Organization' THEN ({_SCHOOL}) ELSE true END), owners AS (SELECT doc_id, chunk_idx, (bool_or(category = 'Person') AND bool_or(category <> 'Person')) AS n, CASE WHEN min(text) FILTER (category = 'Person') = max(text) FILTER (category = 'Person') THEN lower(min(text) FILTER (category = 'Person')) END AS owner FROM kept GROUP BY 1, 2) SELECT doc_id, chunk_idx, text, final AS category, \"offset\", length, 'Identified as sensitive PII (' || final || ').' AS reasoning FROM kept JOIN owners USING (doc_id, chunk_idx) WHERE coalesce(CASE WHEN n THEN owner ELSE lower(text) END, '') NOT IN ({', '.join(map(_quoted, _EXCEPTIONS))})"
+
+
+@query(_FINDINGS)
+def document_findings(spark, d):
+    """Documents through chunks, entities, context, owners and exceptions to findings."""
+    chunks = paragraphs.merge_small(_paras(spark, d))
+    return entities.findings(chunks, spark.createDataFrame([(x,) for x in _EXCEPTIONS], "value string"), key=["doc_id", "chunk_idx"])
+
+
 #: Words that a sensitive-content rule looks for in lines, and the user's exceptions to it.
 _RULE, _RULE_EXCEPTIONS = r"(?i)(license|licensed|copyright|confidential)", ["released under the mit license."]
 
@@ -369,6 +384,12 @@ def duplicate_groups(spark, d):
     return vectors.duplicate_groups(near_pairs(spark, d))
 
 
+@query(f"WITH {_PAIRS} SELECT i, j, round_even(1 - d * d / 2, 4) AS cosine FROM (SELECT i, j, sqrt(2 - 2 * similarity) AS d FROM near)")
+def angular_cosine(spark, d):
+    distance = F.sqrt(2 - 2 * F.col("similarity"))
+    return near_pairs(spark, d).select("i", "j", F.bround(vectors.angular_to_cosine(distance), 4).alias("cosine"))
+
+
 # geometry -----------------------------------------------------------------------------------------
 @query(f"WITH {_WORDS}, b AS (SELECT doc_id, line_idx, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY 1, 2) SELECT *, greatest(0, x1 - x0) AS width, greatest(0, y1 - y0) AS height, x0 / 612 AS rx0, y0 / 792 AS ry0, x1 / 612 AS rx1, y1 / 792 AS ry1 FROM b")
 def bbox(spark, d):
@@ -533,6 +554,15 @@ def ops_by_page(spark, d):
     return packed.select("doc_id", "page", F.array_join(F.transform("r", lambda r: F.concat(r["y0"].cast("int").cast("string"), F.lit(":"), r["x0"].cast("int").cast("string"))), ",").alias("ops"))
 
 
+@query(f"WITH {_SUGG}, n AS (SELECT doc_id, max(page) AS last FROM words GROUP BY doc_id), asked AS (SELECT doc_id, id, page + CAST(split_part(id, '_', 2) AS INT) % 3 AS page FROM s2) SELECT doc_id, id, page, page <= last AS is_applied FROM asked JOIN n USING (doc_id)")
+def redaction_apply(spark, d):
+    """Areas with whether their page exists; some of the suggestions' are moved past their document's end."""
+    rows, _ = _suggestions(spark, d)
+    pages = _words(spark, d).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
+    asked = rows.select("doc_id", "id", (F.col("page") + F.col("span_id") % 3).alias("page"))
+    return review.applied(asked, pages)
+
+
 _NEEDLES = "needles AS (SELECT doc_id, lower(regexp_replace(word, '[.,;:!?''’s()]+$', '')) AS key FROM words WHERE line_idx = 0 AND word_idx = 0)"
 
 

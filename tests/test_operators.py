@@ -248,3 +248,55 @@ def test_entity_rules_read_the_documents(spark, tmp_path):
     assert {(r.text, r.is_kept) for r in run("document_entity_validate") if r.category == "DateTime"} == {("01/02/1990", True), ("03/04/2020", False)}
     assert {(r.doc_id, r.is_needed) for r in run("document_linking_needed")} == {(50, False), (51, False)}
     assert {r.text for r in run("document_entity_exceptions") if r.category == "Email"} == {"eve@example.org"}
+
+
+def test_rules_end_at_word_boundaries(spark):
+    inside = ["XAB123456CX", "1.2.3.4.5", "x01/02/20201", "0001.2.3.4", "aged 1234", "UTR 12345678901", "a_key = \"x\"", "+44123456789012345678", "12 Hill Streets", "Xaged 12"]
+    whole = {"AB123456C": "UKNationalInsuranceNumber", "1.2.3.4": "IPAddress", "01/02/2020": "DateTime", "aged 12": "Age", "UTR 1234567890": "UKUniqueTaxpayerReferenceNumber", 'key = "x"': "Secret", "12 Hill Street": "Address"}
+    docs = spark.createDataFrame([*enumerate(inside), *((100 + k, f"({t}), ") for k, t in enumerate(whole))], "doc_id long, text string")
+    found = {(r.doc_id, r.text, r.category) for r in entities.recognise(docs).collect()}
+    assert found == {(100 + k, t, c) for k, (t, c) in enumerate(whole.items())}
+
+
+def test_a_text_without_a_categorys_character_holds_no_match():
+    samples = ["a@b.org", "1.2.3.4", "+44 20 7946 0958", "AB12/34", "UTR: 1234567890", "Passport No: AB1234567", "01/02/2020", 'secret = "y"']
+    for category, part in queries.rules.HOLDS.items():
+        hits = [m[0] for s in samples for m in re.finditer(queries.rules.PATTERNS[category], s)]
+        assert hits and all(part in h for h in hits)
+
+
+def test_vectors_of_other_lengths_and_with_odd_components(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0, 0.0]), (3, [1.0, None, 0.0]), (4, [1.0, float("nan"), 0.0]), (5, [float("inf"), 0.0, 0.0]), (6, []), (7, None), (8, [2.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.i, r.j) for r in vectors.near_pairs(frame, -1.0).collect()] == [(1, 8)]
+    assert [(r.i, r.j) for r in vectors.neighbours(frame, 3, -1.0).collect()] == [(1, 8)]
+
+
+def test_markers_without_dashes_and_whole_ones():
+    thread = "From: a@example.org\n\nFirst body.\nOriginal Message\nFrom: b@example.org\n\nSecond body. -----Forwarded Message-----\nFrom: c@example.org\n\nThird body.\n-----Original Message-----\nFrom: d@example.org\n\nLast body."
+    found = email.split_thread(thread)
+    assert [b.split("\n")[0] for b in found] == ["From: a@example.org", "Original Message", "-----Forwarded Message-----", "-----Original Message-----"]
+    assert [email.parse_block(b)[1] for b in found] == ["First body.", "Second body.", "Third body.", "Last body."]
+
+
+def test_findings_from_chunks(spark):
+    rows = [
+        (1, 0, "Dr Hill, born on 01/02/1990, mails hill@example.org on 03/04/2020."), (1, 1, "Dr Reed writes to reed@example.org"), (1, 2, "Dr Hill and Dr Reed share ann@example.org"),
+        (1, 3, "only eve@example.org and bob@example.org at Hill Academy or Acme Ltd"), (1, 4, None), (1, 5, ""),
+    ]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_idx int, text string")
+    excepted = spark.createDataFrame([("dr reed",), ("eve@example.org",)], "value string")
+    run = lambda **k: {(r.chunk_idx, r.text, r.category) for r in entities.findings(chunks, excepted, key=["doc_id", "chunk_idx"], **k).collect()}
+    first = {(0, "Dr Hill", "Person"), (0, "01/02/1990", "DateOfBirth"), (0, "hill@example.org", "Email")}
+    third, last = {(2, "Dr Hill", "Person"), (2, "Dr Reed", "Person"), (2, "ann@example.org", "Email")}, {(3, "bob@example.org", "Email"), (3, "Hill Academy", "School")}
+    assert run() == first | third | last  # a sole person owns the chunk; of two, nobody does
+    links = spark.createDataFrame([(1, 2, "ann@example.org", "Dr Reed")], "doc_id long, chunk_idx int, text string, owner string")
+    assert run(links=links) == first | {(1, "Dr Reed", "Person"), (1, "reed@example.org", "Email")} | third - {(2, "ann@example.org", "Email")} | last
+    model = spark.createDataFrame([(1, 3, "Zoe", "Person", 0, 3, rows[3][2])], "doc_id long, chunk_idx int, text string, category string, offset int, length int, content string")
+    assert (3, "Zoe", "Person") in run(others=model)
+
+
+def test_areas_of_pages_that_are_not_there(spark):
+    asked = spark.createDataFrame([(1, "a", 0), (1, "b", 2), (1, "c", -1), (1, "d", None), (2, "e", 0)], "doc_id long, id string, page int")
+    got = review.applied(asked, spark.createDataFrame([(1, 2)], "doc_id long, n_pages int")).collect()
+    assert {r.id: r.is_applied for r in got} == {"a": True, "b": False, "c": False, "d": False, "e": False}
