@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .cached_encoder import byte_characters
-from .common import text_of
+from .common import bounded_batches, text_of
 
 #: One character that stands for the end of a word in the automaton.
 END = "￿"
@@ -188,6 +188,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     ``decoded_sha256`` (of the decoded text in UTF-8) and, with ``with_ids``, ``ids`` (those bytes). Null and
     empty texts give no ids; null ids and repeated rows stay; no rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(_coded(tokenizer, with_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

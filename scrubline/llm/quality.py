@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_enough, text_of, unused
+from .common import bounded_batches, checkpoint, small_enough, text_of, unused
 
 #: Labelled documents that the heads are fitted on, at most.
 SAMPLE = 20_000
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Repeated labels of a document count once (the worst of them); rows with a null id or a null label
     are not used. Without usable labels the heads are empty and no document is rejected.
     """
+    bounded_batches(docs.sparkSession)
     rated = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q"), F.col("toxic").alias("t")).where("id is not null and q is not null and t is not null")
     rated = rated.groupBy("id").agg((F.min("q") == 0).cast("int").alias("low"), (F.max("t") > 0).cast("int").alias("toxic"))
     rated = rated.orderBy(F.xxhash64("id"), "id").limit(sample)

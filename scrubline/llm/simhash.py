@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import similar
 from ..operators.graph import components
-from .common import checkpoint, small_enough, unused
+from .common import bounded_batches, checkpoint, small_enough, unused
 
 HOT, LEVELS = 4096, 4
 
@@ -339,6 +339,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """``docs`` with one row of every group of documents whose sets of ``width``-word shingles are linked by Jaccard similarities
     of ``SIMILAR`` or more; all columns stay. Kept is the row with the smallest id (null last), then the smallest
     text hash; equal repeated rows of it are one row. Null and empty texts are one group."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
     common = similar.common_shingles(texts.select("text"), width)

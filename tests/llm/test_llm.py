@@ -850,3 +850,18 @@ def test_pipeline(spark, documents):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert sorted(r.doc_id for r in last.collect()) == sorted(r.doc_id for r in docs.collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == {r.doc_id for r in last.collect()}
+
+
+def test_texts_are_sent_in_bounded_batches(spark):
+    from scrubline.llm import common
+
+    session = spark.newSession()
+    common.bounded_batches(session)
+    assert session.conf.get(common.BATCH_SETTING) == common.BATCH
+    session.conf.set(common.BATCH_SETTING, "1234567b")  # a session's own bound stays
+    common.bounded_batches(session)
+    assert session.conf.get(common.BATCH_SETTING) == "1234567b"
+    session.conf.set(common.BATCH_SETTING, "1000b")
+    rows = [(k, "x" * 700 * k) for k in range(6)]
+    sizes = session.createDataFrame(rows, "id long, text string").coalesce(1).mapInArrow(lambda bs: (b for b in bs), "id long, text string")
+    assert sorted((r.id, r.text) for r in sizes.collect()) == rows
