@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry, rules, text
-from ..operators import dedup, email, entities, paragraphs, raster, reflow, review, similar, spans, vectors
+from ..operators import dedup, email, entities, fuzzy, paragraphs, raster, reflow, review, spans, vectors
 from ..sources.sinks import annotations
 from ..sources.tables import table, threads
-from ..storage import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -614,26 +612,7 @@ def parse_props(spark, d):
 def fuzzy_documents(spark, d):
     """Documents of a language with a near length and ``WORDS_SHARED`` of their distinct words in common, and how much of the first
     the second covers. Sources are the first documents of their texts; targets are all documents of the other text."""
-    rows = _docs(spark, d).select("doc_id", "lang", text.normalize_email(F.col("text")).alias("n")).where(F.length("n") >= email.LEAST_SOURCE)
-    rows = checkpoint(rows.select("doc_id", "lang", "n", F.xxhash64(F.sha2("n", 256), "lang").alias("of")))
-    first = checkpoint(rows.groupBy("of").agg(F.min("doc_id").alias("id"), F.first("lang").alias("lang"), F.first("n").alias("n")))
-    met = similar.meetings(first.select("id", F.col("n").alias("text")), 1, WORDS_SHARED).withColumn("part", F.col("id"))
-    pairs = similar.candidates(met, WORDS_SHARED, False)
-    source = first.select(F.col("id").alias("a"), F.col("lang").alias("la"), F.col("n").alias("source"))
-    target = first.select(F.col("id").alias("b"), F.col("lang").alias("lb"), F.col("n").alias("target"), "of")
-    small = lambda x: x.select(x.columns[0], x.columns[1], F.length(x.columns[2]).alias(f"n{x.columns[0]}"))
-    pairs = pairs.join(small(source), "a").join(small(target), "b").where(F.col("la").eqNullSafe(F.col("lb")) & (F.col("nb") * 10 >= F.col("na") * 9) & (F.col("na") * 10 >= F.col("nb") * 9)).select("a", "b")
-
-    @F.arrow_udf("double")
-    def covered(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            p, q = set(x.split(" ")), set(y.split(" "))
-            out.append(email.coverage(x, y) if len(p & q) >= WORDS_SHARED * max(len(p), len(q)) - 1e-9 else None)
-        return pa.array(out, pa.float64())
-
-    near = checkpoint(pairs.join(source, "a").join(target, "b").select("a", "of", covered("source", "target").alias("c")).where(F.col("c") >= email.COVERAGE))
-    return near.join(rows.select("of", "doc_id"), "of").select(F.col("a").alias("source_id"), F.col("doc_id").alias("target_id"), F.bround("c", 3).alias("coverage"))
+    return fuzzy.near_documents(_docs(spark, d), WORDS_SHARED)
 
 
 # joins between messages, lines, rectangles and labels ----------------------------------------------

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import pathlib
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubline.functions import geometry, text
-from scrubline.operators import dedup, email, entities, paragraphs, raster, reflow, review, spans, vectors
+from scrubline.operators import dedup, email, entities, fuzzy, paragraphs, raster, reflow, review, spans, vectors
 from scrubline.plans import queries
 from scrubline.sources import sinks, tables
 
@@ -228,6 +229,50 @@ def test_fuzzy_documents_against_brute_force(spark, tmp_path):
     assert {(r.source_id, r.target_id) for r in queries.QUERIES["fuzzy_documents"](spark, str(tmp_path)).collect()} == expected
 
 
+def _written(spark, run) -> int:
+    """Bytes that a run leaves in the checkpoint folder."""
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    run()
+    return size() - before
+
+
+def _long_rows():
+    rng = random.Random(3)
+    return [(i, "en", " ".join(f"w{rng.randrange(10**6)}" for _ in range(800))) for i in range(60)]
+
+
+def test_fuzzy_documents_write_no_texts(spark):
+    rows = _long_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert _written(spark, lambda: fuzzy.near_documents(frame, 0.6).collect()) < sum(len(r[2]) for r in rows) / 2
+
+
+def test_word_pairs_in_parts(spark):
+    """All pairs are found, within a cell and across the lengths of two, when words are dealt into parts."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):
+        words = [f"w{rng.randrange(10**4)}" for _ in range(rng.randrange(6, 80))]
+        rows += [(3 * g + k, words[: len(words) - k * len(words) // 20] + [f"n{k}"]) for k in range(3)]
+    texts = spark.createDataFrame([(i, i, "en", len(" ".join(w)), " ".join(w)) for i, w in rows], "doc_id long, of long, lang string, chars int, text string")
+    near = {(a, b) for (a, p), (b, q) in itertools.combinations(rows, 2) if 0.9 <= len(" ".join(p)) / len(" ".join(q)) <= 1 / 0.9 and len(set(p) & set(q)) >= 0.6 * max(len(set(p)), len(set(q)))}
+    for parts in ({}, {("en", k): 3 for k in range(60)}):
+        found = [(min(r.a, r.b), max(r.a, r.b)) for r in fuzzy.word_pairs(texts, len(rows), parts, 0.6).collect()]
+        assert len(near) > 30 and near <= set(found) and len(found) == len(set(found)) < 2 * len(near)
+
+
+def test_covered_is_the_sequence_matchers_coverage():
+    rng = random.Random(6)
+    for k in range(120):
+        words = ["".join(rng.choice("etaoinéüzxq!.") for _ in range(rng.randrange(1, 9))) for _ in range(rng.choice([5, 40, 300]))]
+        other = [w if rng.random() < 0.7 + k % 4 / 10 else w[::-1] for w in words] + words[: k % 7]
+        a, b = " ".join(words), " ".join(other)
+        expected = email.coverage(a, b)
+        assert fuzzy.covered(a, b, 0.0) == expected and fuzzy.covered(a, b, 0.7) == (expected if expected >= 0.7 else None)
+
+
 def test_contained_texts_against_brute_force(spark):
     """Proper parts are found, cut inside words too."""
     rng = random.Random(5)
