@@ -10,9 +10,10 @@ level from 1 to ``level_of(c)``, and a query probes level after level until one
 one fixed count, the middle of its range. Words, which the base score needs with exact counts, are a sorted
 table that also holds, for each word, the stored counts and the number of the bigrams it begins.
 
-Buckets are joined into segments of about ``SEGMENT_BYTES``, one broadcast each. A task reads its texts once and
-takes the segments one after the other for every batch of documents, so a larger corpus has more segments, never
-larger ones, and nothing is written back between them. The driver holds one segment at a time.
+A bucket's task writes it to a file of the shared folder, and the driver sees its name and size only. Buckets are joined into
+segments of about ``SEGMENT_BYTES``. A task reads its texts once and takes the segments from their files, one after the other, for
+every batch of documents, so a larger corpus has more segments, never larger ones, and nothing is written back between them. Where
+Python can't open the shared folder, a segment is a broadcast, and the driver holds one at a time.
 
 The probabilities are absolute discounting, with Q the count that a bigram's level stands for and the sums over
 all w taken from the stored counts themselves, so that they add up to one:
@@ -27,17 +28,19 @@ add on average is in Z. All unknown words together are one word of P.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_of
+from .common import checkpoint, opened_folder, own_folder, remove_folder, text_of
 
 BASE, LEVELS = 1.5, 64
 #: Probes at the first level beyond the bits of the vocabulary's size, and at every further level.
@@ -251,8 +254,9 @@ def _filter(hashes: np.ndarray, levels: np.ndarray, probes: tuple[int, int]) ->
     return m, np.packbits(bits, bitorder="little").tobytes()
 
 
-def _bucket(deal: Deal, fixed: tuple[int, int] | None):
-    """One bucket: its words with exact counts and sums, its bigrams' filter, and its share of frequent words' sums."""
+def _bucket(deal: Deal, fixed: tuple[int, int] | None, uri: str | None):
+    """One bucket: its words with exact counts and sums, its bigrams' filter, and its share of frequent words' sums. Filter and words
+    go to a file in ``uri``, of another name for each attempt of a task; without it they stay in the row."""
 
     def made(table: pa.Table) -> pa.Table:
         parts = [_unpacked(d.as_py()) for d in table.column("data")]
@@ -276,12 +280,20 @@ def _bucket(deal: Deal, fixed: tuple[int, int] | None):
         stats = [len(words), int(counts.sum()), *(int((x == k).sum()) for x in (counts, times) for k in (1, 2))]
         packed = b"".join([names.astype("<u8").tobytes(), *(_small(c) for c in columns)])
         shares = [{"word": w, "followers": f, "sum": s} for w, f, s in zip(kinds[hot].view(np.int64).tolist(), of[hot].tolist(), sums[hot].tolist(), strict=True)]
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "m": pa.array([m], pa.int64()), "probes": pa.array([probes], pa.list_(pa.int32())), "bits": pa.array([bits], pa.binary()), "n": pa.array([len(names)], pa.int64()), "words": pa.array([packed], pa.binary()), "stats": pa.array([stats], pa.list_(pa.int64())), "shares": pa.array([shares], pa.list_(pa.struct([("word", pa.int64()), ("followers", pa.int64()), ("sum", pa.int64())])))})
+        file = f"{table.column('bucket')[0].as_py()}-{uuid.uuid4().hex}"
+        if uri:
+            system, inside = fs.FileSystem.from_uri(uri)
+            with system.open_output_stream(f"{inside}/{file}") as f:
+                f.write(bits)
+                f.write(packed)
+        row = {"bucket": table.column("bucket")[0].as_py(), "m": m, "probes": probes, "n": len(names), "cut": len(bits), "size": len(bits) + len(packed), "file": file, "data": None if uri else bits + packed, "stats": stats, "shares": shares}
+        return pa.table({k: pa.array([row[k]], kind) for k, kind in _BUCKET.items()})
 
     return made
 
 
-_BUCKET = "bucket int, m long, probes array<int>, bits binary, n long, words binary, stats array<long>, shares array<struct<word: long, followers: long, sum: long>>"
+_BUCKET = {"bucket": pa.int32(), "m": pa.int64(), "probes": pa.list_(pa.int32()), "n": pa.int64(), "cut": pa.int64(), "size": pa.int64(), "file": pa.string(), "data": pa.binary(), "stats": pa.list_(pa.int64()), "shares": pa.list_(pa.struct([("word", pa.int64()), ("followers", pa.int64()), ("sum", pa.int64())]))}
+_BUCKET_SCHEMA = "bucket int, m long, probes array<int>, n long, cut long, size long, file string, data binary, stats array<long>, shares array<struct<word: long, followers: long, sum: long>>"
 
 
 class Segment:
@@ -341,6 +353,21 @@ class Segment:
         return out
 
 
+def _loaded(rows: list[dict], uri: str | None, deal: Deal) -> Segment:
+    """The segment of buckets that ``_bucket`` made."""
+
+    def whole(r: dict) -> dict:
+        if uri:
+            with system.open_input_file(f"{inside}/{r['file']}") as f:
+                data = memoryview(f.read_buffer())
+        else:
+            data = memoryview(r["data"])
+        return r | {"bits": data[: r["cut"]], "words": data[r["cut"] :]}
+
+    system, inside = fs.FileSystem.from_uri(uri) if uri else (None, None)
+    return Segment([whole(r) for r in rows], deal)
+
+
 @dataclass
 class Model:
     """Totals of the training documents, and what they make of counts and levels."""
@@ -367,7 +394,20 @@ class Model:
         return np.where(followers > 0, out, single)
 
 
-def _scored(sent: Broadcast, segments: list[Broadcast]):
+class Stored:
+    """A segment in files; ``value`` reads it, as that of a broadcast does."""
+
+    def __init__(self, rows: list[dict], uri: str, model: Broadcast):
+        self.rows, self.uri, self.model = rows, uri, model
+
+    @property
+    def value(self) -> Segment:
+        if "_value" not in self.__dict__:
+            self._value = _loaded(self.rows, self.uri, self.model.value.deal)
+        return self._value
+
+
+def _scored(sent: Broadcast, segments: list[Broadcast] | list[Stored]):
     """Scores of documents; every batch of about ``BATCH`` tokens meets one segment after the other."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,13 +495,13 @@ def _frequent(texts: DataFrame, volume: int, bits: int) -> Deal:
     return Deal(bits, hot[order], np.minimum(np.ceil(n[order] / total * parts).astype(np.int64), 1 << bits))
 
 
-def train(texts: DataFrame, volume: int, probes: tuple[int, int] | None = None, bucket_bytes: int = BUCKET_BYTES, segment_bytes: int = SEGMENT_BYTES) -> tuple[Model, Iterator[Segment]]:
-    """The model of the training texts ``texts(text)`` of about ``volume`` bytes, and its segments, one at a time."""
+def _trained(texts: DataFrame, volume: int, probes: tuple[int, int] | None, bucket_bytes: int, segment_bytes: int, uri: str | None) -> tuple[Model, Iterator[list[dict]]]:
+    """The model, and the buckets of its segments, for ``_loaded``; the model's homes are filled in as they come."""
     bits = max(4, int(np.ceil(np.log2(max(1, volume / bucket_bytes)))))
     deal = _frequent(texts, volume, bits)
     counted = texts.mapInArrow(_counted(deal), "bucket int, data binary")
-    buckets = checkpoint(counted.groupBy("bucket").applyInArrow(_bucket(deal, probes), _BUCKET))
-    stats = buckets.select(*(F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(6)), F.sum(F.octet_length("bits") + F.octet_length("words")).alias("size")).first()
+    buckets = checkpoint(counted.groupBy("bucket").applyInArrow(_bucket(deal, probes, uri), _BUCKET_SCHEMA))
+    stats = buckets.select(*(F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(6))).first()
     v, n, *times = (stats[k] or 0 for k in range(6))
     discount = lambda once, twice: once / (once + 2 * twice + 1) if once else 0.5
     shares = buckets.select(F.explode("shares").alias("s")).groupBy("s.word").agg(F.sum("s.followers").alias("f"), F.sum("s.sum").alias("q")).collect()  # at most MOST_HOT rows
@@ -469,18 +509,34 @@ def train(texts: DataFrame, volume: int, probes: tuple[int, int] | None = None,
     model = Model(n, v, (discount(*times[:2]), discount(*times[2:])), deal, sums=sums)
     model.homes = np.full(1 << bits, -1, np.int32)  # no segment: an empty bucket
 
-    def segments() -> Iterator[Segment]:
+    def groups() -> Iterator[list[dict]]:
         held, size, number = [], 0, 0
-        for r in buckets.select("bucket", "m", "probes", "bits", "n", "words").toLocalIterator():  # one partition at a time is on its way
+        found = buckets.drop("stats", "shares")
+        # names and sizes, a row for some 16 MB of text; whole buckets come one partition at a time
+        for r in found.drop("data").collect() if uri else found.toLocalIterator():
             model.homes[r["bucket"]] = number
-            held.append(r)
-            size += len(r["bits"]) + len(r["words"])
+            held.append(r.asDict())
+            size += r["size"]
             if size >= segment_bytes:
-                done, held, size, number = Segment(held, deal), [], 0, number + 1
+                done, held, size, number = held, [], 0, number + 1
                 yield done
                 del done
         if held:
-            yield Segment(held, deal)
+            yield held
+
+    return model, groups()
+
+
+def train(texts: DataFrame, volume: int, probes: tuple[int, int] | None = None, bucket_bytes: int = BUCKET_BYTES, segment_bytes: int = SEGMENT_BYTES) -> tuple[Model, Iterator[Segment]]:
+    """The model of the training texts ``texts(text)`` of about ``volume`` bytes, and its segments, one at a time."""
+    folder = own_folder(texts.sparkSession, "lm-bloom")
+    uri = opened_folder(texts.sparkSession, folder)
+    model, groups = _trained(texts, volume, probes, bucket_bytes, segment_bytes, uri)
+
+    def segments() -> Iterator[Segment]:
+        for rows in groups:
+            yield _loaded(rows, uri, model.deal)
+        remove_folder(texts.sparkSession, folder)
 
     return model, segments()
 
@@ -494,15 +550,22 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     often as they occur; an empty table gives no rows; without training documents both scores are zero logs.
     Counts are kept by 64-bit word hash. ``probes`` (first level, further levels) is otherwise set by the vocabulary.
     """
-    context = docs.sparkSession.sparkContext
+    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     texts = rows.where(~F.col("held_out")).select("text")
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model, segments = train(texts, volume, probes, bucket_bytes, segment_bytes)
-    sent = [context.broadcast(s) for s in segments]  # fills in the model's homes
-    whole = context.broadcast(model)
-    scores = checkpoint(rows.mapInArrow(_scored(whole, sent), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
-    for b in [whole, *sent]:  # the scores are written, some 60 bytes a document
-        b.destroy()
+    folder = own_folder(spark, "lm-bloom")
+    uri = opened_folder(spark, folder)
+    try:
+        model, groups = _trained(texts, volume, probes, bucket_bytes, segment_bytes, uri)
+        # either fills in the model's homes
+        parts = list(groups) if uri else [context.broadcast(_loaded(g, uri, model.deal)) for g in groups]
+        whole = context.broadcast(model)
+        segments = [Stored(g, uri, whole) for g in parts] if uri else parts
+        scores = checkpoint(rows.mapInArrow(_scored(whole, segments), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+        for b in [whole, *(() if uri else parts)]:  # the scores are written, some 60 bytes a document
+            b.destroy()
+    finally:
+        remove_folder(spark, folder)
     return scores

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
+import pickle
 import random
 import re
 import struct
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from scrubline import storage
 from scrubline.llm import decontaminate, html_density, lm_bloom, lsh_forest, packing, prefix_bpe, quality, queries, simhash, token_histogram, token_table
 from scrubline.llm.cached_encoder import CachedEncoder
 
@@ -283,6 +286,38 @@ def test_scores_equal_a_model_in_dictionaries(spark, documents, odd, monkeypatch
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_filters_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Only names and sizes of the buckets' files do; where Python can't open the shared folder, broadcasts give the same scores."""
+    small, sizes = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), {"bucket_bytes": 5_000, "segment_bytes": 60_000}
+    context, sent, asked = spark.sparkContext, [], []
+    send, own_folder = context.broadcast, lm_bloom.own_folder
+
+    def broadcast(value):
+        sent.append(len(pickle.dumps(value)))
+        return send(value)
+
+    def folder(*args):
+        asked.append(own_folder(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    monkeypatch.setattr(lm_bloom, "own_folder", folder)
+    with monkeypatch.context() as m:
+        m.setattr(lm_bloom, "Segment", None)  # none is made here
+        got = sorted(lm_bloom.score_documents(small, F.col("doc_id") % 7 == 2, **sizes).collect())
+    assert len(sent) == 1 and sent[0] < 60_000
+    assert not os.path.exists(asked[0].removeprefix("file://"))
+    monkeypatch.setattr(lm_bloom, "opened_folder", lambda *_: None)
+    assert sorted(lm_bloom.score_documents(small, F.col("doc_id") % 7 == 2, **sizes).collect()) == got and len(sent) > 3
+
+
+def test_folders_that_python_opens(spark, tmp_path):
+    uri = storage.opened_folder(spark, f"{tmp_path}/a b")
+    assert uri == f"file://{tmp_path}/a%20b" and os.path.isdir(f"{tmp_path}/a b")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.kept.link./in", f"file://{tmp_path}")
+    assert storage.opened_folder(spark, "viewfs://kept/in/c") is None
+
+
 def test_texts_in_pieces():
     text = "  Ab c  defgh\n\t" + LONG + " "
     whole = np.concatenate(list(lm_bloom.pieces(text)))
